@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.registry import Registry
 from ..session import table
+from .garbled import repair_fields
 from .mixing import mix_sources
 from .terms import term_frequencies
 from .unify import unify_text
@@ -47,3 +48,20 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("p10_unified")
 def p10_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify_text(table(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("text_unified"), F.sha2("text", 256).alias("form"))
+
+
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, u = table(spark, sf_dir, "proyectos"), table(spark, sf_dir, "unesco_codes")
+    both = p.select(F.lit("proyectos").alias("tbl"), F.col("referencia").alias("rec_key"), F.explode(F.array(*(F.struct(F.lit(f).alias("fld"), F.col(f).alias("text")) for f in ("titulo", "resumen")))).alias("x"))
+    return both.select("tbl", "rec_key", "x.fld", "x.text").unionByName(u.select(F.lit("unesco_codes").alias("tbl"), F.col("unesco_cd").cast("string").alias("rec_key"), F.lit("descr").alias("fld"), F.col("descr").alias("text")))
+
+
+@add("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_fields(_fields(spark, sf_dir)).select("tbl", "rec_key", "fld").distinct()
+
+
+@add("p2_restored")
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled fields with their text put right; ``whole`` where nothing was lost for good."""
+    return repair_fields(_fields(spark, sf_dir)).select("tbl", "rec_key", "fld", "text", "restored", "whole")
