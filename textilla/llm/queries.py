@@ -8,6 +8,8 @@ from ..plans.registry import Registry
 from ..session import table
 from .garbled import repair_fields
 from .mixing import mix_sources
+from .near_dup import near_duplicates
+from .pairs import group_pairs
 from .terms import term_frequencies
 from .unify import unify_text
 
@@ -65,3 +67,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The garbled fields with their text put right; ``whole`` where nothing was lost for good."""
     return repair_fields(_fields(spark, sf_dir)).select("tbl", "rec_key", "fld", "text", "restored", "whole")
+
+
+@add("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped, _ = near_duplicates(table(spark, sf_dir, "proyectos"), "referencia", "resumen")
+    return group_pairs(grouped)
+
+
+@add("p1_groups")
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per project with an abstract of 20 words: its group, and the group's number of projects."""
+    grouped, _ = near_duplicates(table(spark, sf_dir, "proyectos"), "referencia", "resumen")
+    sizes = grouped.groupBy("grp").agg(F.min("key").alias("first_ref"), F.count("*").alias("n_members"))
+    return grouped.join(sizes, "grp").select(F.col("key").alias("referencia"), "first_ref", "n_members")
