@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..plans.registry import Registry
 from ..session import table
 from .garbled import repair_fields
+from .leaks import leaks
 from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .pairs import group_pairs
+from .split_overlap import across_splits, overlaps
 from .terms import term_frequencies
 from .unify import unify_text
 
@@ -81,3 +83,34 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped, _ = near_duplicates(table(spark, sf_dir, "proyectos"), "referencia", "resumen")
     sizes = grouped.groupBy("grp").agg(F.min("key").alias("first_ref"), F.count("*").alias("n_members"))
     return grouped.join(sizes, "grp").select(F.col("key").alias("referencia"), "first_ref", "n_members")
+
+
+@add("p7_found")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped, _, _ = overlaps(table(spark, sf_dir, "proyectos"), "referencia", "resumen")
+    x = across_splits(grouped, table(spark, sf_dir, "splits"), "referencia")
+    return x.select(F.least("train_key", "eval_key").alias("ref_a"), F.greatest("train_key", "eval_key").alias("ref_b")).distinct()
+
+
+@add("p7_report")
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out projects that also stand in train, by split and call: projects, pairs, and the mean part of the abstract that a direct link covers."""
+    p = table(spark, sf_dir, "proyectos")
+    grouped, members, links = overlaps(p, "referencia", "resumen")
+    x = across_splits(grouped, table(spark, sf_dir, "splits"), "referencia")
+    cover = links.select(F.col("a").alias("cls"), F.col("cover_a").alias("c")).unionByName(links.select(F.col("b").alias("cls"), F.col("cover_b").alias("c"))).groupBy("cls").agg(F.max("c").alias("c"))
+    held = members.join(cover, "cls", "left").select("key", F.coalesce("c", F.lit(1.0)).alias("c"))
+    call = p.select(F.col("referencia").alias("eval_key"), "cconv")
+    per = x.groupBy("eval_key", "eval_split").agg(F.count("*").alias("n")).join(held, F.col("eval_key") == F.col("key")).join(call, "eval_key")
+    return per.groupBy("eval_split", "cconv").agg(F.count("*").alias("n_projects"), F.sum("n").alias("n_pairs"), F.avg("c").alias("mean_cover"))
+
+
+@add("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).filter("stretch >= 24").select("item_id", "doc_id").distinct()
+
+
+@add("p8_coverage")
+def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair with a fifth of the item tiled in any order, passages set in another order included."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).filter("coverage >= 0.2")
