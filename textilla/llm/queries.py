@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.registry import Registry
 from ..session import table
+from . import language
 from .garbled import repair_fields
 from .leaks import leaks
 from .mixing import mix_sources
@@ -114,3 +115,23 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair with a fifth of the item tiled in any order, passages set in another order included."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).filter("coverage >= 0.2")
+
+
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "proyectos")
+    both = p.select("referencia", F.explode(F.array(*(F.struct(F.lit(f).alias("fld"), F.col(f).alias("text"), F.col(f"{f}_lang").alias("label")) for f in ("titulo", "resumen")))).alias("x"))
+    both = both.select(F.concat_ws("|", "x.fld", "referencia").alias("key"), "x.text", "x.label")
+    net = language.train(*language.sample(both, "text", "label"))
+    found = language.identify(both, "key", "text", "label", net)
+    return found.select(F.expr("substring(key, instr(key, '|') + 1)").alias("referencia"), F.substring_index("key", "|", 1).alias("fld"), "seg", "lang", "confidence", "n_segs", "recorded")
+
+
+@add("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of the texts whose label is missing or wrong, or that are in more than one language."""
+    return _languages(spark, sf_dir).filter("n_segs > 1 OR recorded IS NULL OR recorded != lang").select("referencia", "fld", "seg", "lang")
+
+
+@add("p4_languages")
+def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir)
