@@ -25,7 +25,7 @@ FORMS = {
 }
 _FORM = {w: k for k, v in FORMS.items() for w in v.split()}
 #: Texts of the labelled sample, at most; training steps; bytes of a training window.
-SAMPLE, STEPS, SPAN, BATCH, HIDDEN, EMBED = 4000, 360, 56, 64, 20, 12
+SAMPLE, STEPS, SPAN, BATCH, HIDDEN, EMBED = 6000, 640, 56, 64, 24, 12
 #: A change of language costs as much as a sentence that speaks clearly against it; a label counts as weak evidence.
 SWITCH, LABEL = 4.0, 1.0
 
@@ -146,30 +146,34 @@ def pad(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7, steps: int = STEPS) -> Net:
-    """Adam over random windows, balanced over languages; half-way, texts whose label the network denies are left out."""
+    """Adam over random windows of sentences whose labels may be wrong or hold for a part of the text only.
+
+    Half-way and at three quarters of the steps the network reads all sentences of the sample, and goes on with
+    those whose label it confirms, balanced over the languages.
+    """
     rng = np.random.default_rng(seed)
     net = Net.fresh(rng)
-    seqs, y = [encode(t) for t in texts], np.array(labels)
-    use = [i for i in range(len(seqs)) if len(seqs[i]) > 8]
+    pool = [(e, y) for t, y in zip(texts, labels) for p in pieces(t) if len(e := encode(p)) > 12]
+    if not pool:
+        return net
+    y = np.array([p[1] for p in pool])
+    draw = [np.arange(len(pool))]
     m, v = ({k: np.zeros_like(a) for k, a in net.w.items()} for _ in range(2))
     for step in range(1, steps + 1):
-        if step == steps // 2:
-            said = net.pool([seqs[i][:400] for i in use]).argmax(1)
-            good = [i for i, s in zip(use, said) if s == y[i]]
-            use = good if len({int(y[i]) for i in good}) == len({int(y[i]) for i in use}) else use
-        by = [[i for i in use if y[i] == k] for k in range(len(LANGS))] if step in (1, steps // 2) else by
-        have = [k for k in range(len(LANGS)) if by[k]]
+        if step in (steps // 2, steps * 3 // 4):
+            said = net.pool([e[:400] for e, _ in pool]).argmax(1)
+            draw = [own for k in range(len(LANGS)) if len(own := np.flatnonzero((said == k) & (y == k)))] or draw
         rows, ys = [], []
         for _ in range(BATCH):
-            k = have[rng.integers(len(have))]
-            s = seqs[by[k][rng.integers(len(by[k]))]]
-            at = rng.integers(0, max(1, len(s) - SPAN))
-            rows.append(s[at : at + SPAN])
-            ys.append(k)
+            own = draw[rng.integers(len(draw))]
+            e, label = pool[own[rng.integers(len(own))]]
+            at = rng.integers(0, max(1, len(e) - SPAN + 1))
+            rows.append(e[at : at + SPAN])
+            ys.append(label)
         ids, mask = pad(rows)
         _, g = net.gradients(ids, mask, np.array(ys))
         norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
-        rate = 0.012 * min(1.0, 2.0 * (1 - step / (steps + 1)))
+        rate = 0.015 * min(1.0, 2.0 * (1 - step / (steps + 1)))
         for k, a in g.items():
             a = a * min(1.0, 1.0 / (norm + 1e-9))
             m[k] = 0.9 * m[k] + 0.1 * a
@@ -178,18 +182,24 @@ def train(texts: list[str], labels: list[int], seed: int = 7, steps: int = STEPS
     return net
 
 
-def sample(df: DataFrame, text: str, label: str, size: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """At most ``size`` labelled texts, spread over the languages by a hash of the text; labels may be wrong."""
+def sample(df: DataFrame, text: str, label: str, witness: str | None = None, size: int = SAMPLE) -> tuple[list[str], list[int]]:
+    """About ``size`` labelled texts, twice as many at most, drawn by a hash of the text; labels with the root of their number.
+
+    The root lets rare languages in. A ``witness`` is a second label, of a text that belongs to the same record:
+    only texts whose two labels name one language are drawn, since two wrong labels seldom agree.
+    """
     named = F.create_map(*(x for k, v in _FORM.items() for x in (F.lit(k), F.lit(v))))
-    base = df.select(df[text].cast("string").alias("text"), F.try_element_at(named, F.regexp_extract(F.lower(F.trim(df[label])), r"^([^\-_ (]+)", 1)).alias("lang")).filter("lang IS NOT NULL AND length(text) > 20")
-    counts = {r["lang"]: r["count"] for r in base.groupBy("lang").count().collect()}
-    each = size // max(1, len(counts))
-    odds = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, each / n))))) if counts else None
-    if odds is None:
+    names = lambda c: F.try_element_at(named, F.regexp_extract(F.lower(F.trim(df[c])), r"^([^\-_ (]+)", 1))
+    base = df.filter(names(label) == names(witness)) if witness else df
+    base = base.select(df[text].cast("string").alias("text"), names(label).alias("lang")).filter("lang IS NOT NULL AND length(text) > 20")
+    counts = {r["lang"]: r["count"] for r in base.groupBy("lang").count().collect()}  # one row per language
+    if not counts:
         return [], []
+    roots = sum(n**0.5 for n in counts.values())
+    odds = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, size * n**0.5 / roots / n)))))
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-    # by text, so that no row order tells in the training
-    rows = sorted((r["text"], LANGS.index(r["lang"])) for r in base.filter(draw < odds[F.col("lang")]).limit(2 * size).collect())
+    got = base.filter(draw < odds[F.col("lang")]).limit(2 * size).collect()
+    rows = sorted((r["text"], LANGS.index(r["lang"])) for r in got)  # the order of rows tells nothing
     return [r[0] for r in rows], [r[1] for r in rows]
 
 
