@@ -13,6 +13,7 @@ from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .pairs import group_pairs
 from .split_overlap import across_splits, overlaps
+from .subject import subject_areas
 from .terms import term_frequencies
 from .unify import unify_text
 
@@ -135,3 +136,21 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("p4_languages")
 def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _languages(spark, sf_dir)
+
+
+def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = table(spark, sf_dir, "unesco_codes").select(F.col("descr").alias("text"), F.col("ford_eq").alias("area"))
+    return subject_areas(table(spark, sf_dir, "proyectos"), table(spark, sf_dir, "labels_info"), table(spark, sf_dir, "taxonomy"), codes)
+
+
+@add("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _areas(spark, sf_dir).select("referencia", "area").distinct()
+
+
+@add("p6_composition")
+def p6_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Make-up of the corpus: projects per area, each project shared among its areas, and the mean posterior."""
+    a = _areas(spark, sf_dir)
+    per = a.groupBy("referencia").agg(F.count("*").alias("k"))
+    return a.join(per, "referencia").groupBy("area").agg(F.count("*").alias("n_projects"), F.sum(1 / F.col("k")).alias("weight"), F.avg("posterior").alias("mean_posterior"))
