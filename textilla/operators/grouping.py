@@ -93,10 +93,11 @@ def representatives(groups: DataFrame) -> DataFrame:
 
 def assign(df: DataFrame, key: str, reps: DataFrame) -> DataFrame:
     """(key, group_ref nullable, group_key): a record without a list is its own group."""
-    out = df.select(key).join(reps, df[key] == reps["ref"], "left")
+    out = df.select(key).join(reps.select(F.col("ref").alias("_r"), "group_ref"), F.col(key) == F.col("_r"), "left")
     return out.select(key, "group_ref", F.coalesce("group_ref", key).alias("group_key"))
 
 
+
 def connected_groups(pairs: DataFrame, rounds: int = 50) -> DataFrame:
     """The closure that G4 is meant to be: (ref, group_ref) by minima that travel along links until nothing changes."""
     from ..session import cut

@@ -96,13 +96,15 @@ def split_packed(col: pa.Array, dialect: Dialect = LABELS) -> pa.ListArray:
     start, end = start[keep], end[keep]
     owner = row[start] if len(start) else np.zeros(0, np.int64)
     quoted = np.zeros(len(start), np.uint8)
-    strip_head, strip_tail = _in(data, BLANKS + dialect.brackets), _in(data, BLANKS + dialect.brackets)
+    loose, blank = _in(data, BLANKS + dialect.brackets), _in(data, BLANKS)
     active = np.arange(len(start))
     while len(active):  # blanks, brackets and quotes alternate a few times at most
         s, e = start[active], end[active]
-        head = (s < e) & strip_head[np.minimum(s, size - 1)]
+        bare = quoted[active] == 0  # within quotes brackets belong to the value
+        at_s, at_e = np.minimum(s, size - 1), np.maximum(e - 1, 0)
+        head = (s < e) & np.where(bare, loose[at_s], blank[at_s])
         s = s + head
-        tail = (s < e) & strip_tail[np.maximum(e - 1, 0)]
+        tail = (s < e) & np.where(bare, loose[at_e], blank[at_e])
         e = e - tail
         qs, qe = data[np.minimum(s, size - 1)], data[np.maximum(e - 1, 0)]
         wrapped = (e - s >= 2) & (qs == qe) & _in(qs, dialect.quotes) & (quoted[active] == 0) & ~head & ~tail

@@ -11,12 +11,11 @@ from ..session import table
 from .registry import Registry
 
 add = Registry()
-LABELS = F.filter(F.split("label", r"\+\+"), lambda x: x != "")
 _DL = "list_filter(string_split(label, '++'), lambda x: x <> '')"
 
 
 def _history(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "labelhistory").withColumn("labels", LABELS)
+    return table(spark, d, "labelhistory").withColumn("labels", F.filter(F.split("label", r"\+\+"), lambda x: x != ""))
 
 
 @add("s2_read_table", "SELECT referencia, cconv, titulo FROM proyectos WHERE resumen_lang = 'es' ORDER BY referencia LIMIT 50")
