@@ -56,11 +56,15 @@ def units(df: DataFrame, min_words: int) -> DataFrame:
 
 
 def weights(counts: np.ndarray) -> np.ndarray:
-    """(buckets, subjects) of log(p(word) / p(word outside the subject)) from (buckets, subjects + 1) counts, the last column of no subject."""
+    """(buckets, subjects) of log(expected / actual count outside the subject) from (buckets, subjects + 1) counts, the last column of no subject.
+
+    The complement's estimate is smoothed towards what the whole corpus makes one expect there, so that a word
+    without a preference weighs nothing, whatever the size of a subject, of the vocabulary or of the corpus.
+    """
     total = counts.sum(1, keepdims=True)
     comp = total - counts[:, :-1]
-    v = ALPHA * len(counts)
-    return (np.log((total + ALPHA) / (total.sum() + v)) - np.log((comp + ALPHA) / (comp.sum(0) + v))).astype(np.float32)
+    expected = total * (comp.sum(0) / max(1.0, total.sum()))
+    return np.log((expected + ALPHA) / (comp + ALPHA)).astype(np.float32)
 
 
 def _scores(feats: np.ndarray, cuts: np.ndarray, w: np.ndarray) -> np.ndarray:
