@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as tx
 from ..operators import relational as rel
 from ..sources import store
+from ..streaming import history
 from ..session import table
 from .registry import Registry
 
@@ -311,3 +312,8 @@ def t17(spark, d):
 @add("t18_display_url", "SELECT url, CASE WHEN starts_with(url, 'http') THEN url WHEN starts_with(url, 'www.') THEN 'http://' || url ELSE 'http://www.' || url END AS shown FROM labelhistory WHERE url IS NOT NULL")
 def t18(spark, d):
     return table(spark, d, "labelhistory").filter("url IS NOT NULL").select("url", tx.display_url(F.col("url")).alias("shown"))
+
+
+@add("stream_window_counts", "SELECT time_bucket(INTERVAL 30 DAY, ingest_ts, TIMESTAMPTZ '1970-01-01 00:00:00+00') AS start, userid, count(*) AS n FROM (SELECT DISTINCT * FROM labelhistory WHERE ingest_ts IS NOT NULL) GROUP BY 1, 2")
+def stream(spark, d):
+    return history.run_to_table(history.window_counts(history.read_history(spark, f"{d}/labelhistory.parquet")))
