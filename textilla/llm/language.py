@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 LANGS = ("es", "en", "ca", "pt", "fr")
 #: Forms of a language's label, before any region.
@@ -29,7 +29,8 @@ SAMPLE, STEPS, SPAN, BATCH, HIDDEN, EMBED = 6000, 640, 56, 64, 24, 12
 #: A change of language costs as much as a sentence that speaks clearly against it; a label counts as weak evidence.
 SWITCH, LABEL = 4.0, 1.0
 
-_cell = re.compile(r"(?:(?<=[.!?…])[\"”»)\]]*\s+)|\s*(?:\r?\n|_x000D_)+\s*|\s+(?:/{1,2}|\||[-–—])\s+|(?<=;)\s+")
+_sentence = re.compile(r"(?<=[.!?…])[\"”»)\]]*\s+|\s*(?:\r?\n|_x000D_)+\s*|\s+(?://|\|)\s+")
+_title = re.compile(r"(?<=[.!?…;])[\"”»)\]]*\s+|\s*(?:\r?\n|_x000D_)+\s*|\s+(?:/{1,2}|\||[-–—])\s+")
 _word = re.compile(r"[^\W_]+")
 
 
@@ -38,9 +39,21 @@ def label_of(label: str | None) -> str | None:
     return _FORM.get(re.split(r"[-_ (]", label.strip().lower())[0]) if label else None
 
 
-def pieces(text: str) -> list[str]:
-    """Sentences, or titles joined in one field; what is cut too short leans on its neighbours later."""
-    return [p for p in _cell.split(text) if p and not p.isspace()]
+def pieces(text: str, joined: bool = False) -> list[str]:
+    """Sentences, or with ``joined`` the titles that one field joins by a stroke, bar, dash, semicolon or stop.
+
+    A sentence of under four words goes with the one before: a note or a borrowed phrase is no stretch.
+    """
+    if joined:
+        return [p for p in _title.split(text) if p and not p.isspace()]
+    out: list[str] = []
+    for p in _sentence.split(text):
+        if p and not p.isspace():
+            if out and len(_word.findall(p)) < 4:
+                out[-1] += " " + p
+            else:
+                out.append(p)
+    return out
 
 
 def encode(text: str) -> np.ndarray:
@@ -153,7 +166,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7, steps: int = STEPS
     """
     rng = np.random.default_rng(seed)
     net = Net.fresh(rng)
-    pool = [(e, y) for t, y in zip(texts, labels) for p in pieces(t) if len(e := encode(p)) > 12]
+    pool = [(e, y) for t, y in zip(texts, labels) for p in pieces(t, len(t) < 250) if len(e := encode(p)) > 12]
     if not pool:
         return net
     y = np.array([p[1] for p in pool])
@@ -234,10 +247,10 @@ def stretches(scores: np.ndarray, sizes: np.ndarray, label: int | None) -> list[
     return out
 
 
-def identify(df: DataFrame, key: str, text: str, label: str, net: Net, min_words: int = 5) -> DataFrame:
+def identify(df: DataFrame, key: str, text: str, label: str, net: Net, joined: Column | None = None, min_words: int = 5) -> DataFrame:
     """(key, seg, lang, confidence, n_segs, recorded) of every text of at least ``min_words`` words, one row per stretch.
 
-    recorded is the language that the label names, or null. Null, blank and shorter texts give no row; repeated
+    recorded is the language that the label names, or null. ``joined`` is true for fields that join titles. Null, blank and shorter texts give no row; repeated
     keys give the rows of each; other columns are not read; an empty table gives no rows. Whole texts are read:
     a sentence beyond 400 bytes goes through the network in parts that are pooled. Narrow: no shuffle.
     """
@@ -251,12 +264,12 @@ def identify(df: DataFrame, key: str, text: str, label: str, net: Net, min_words
                 seqs: list[np.ndarray] = []
                 parts: list[list[int]] = []
                 texts = []
-                for t in b["text"]:
+                for t, many in zip(b["text"], b["joined"]):
                     if len(_word.findall(t)) < min_words:
                         texts.append([])
                         continue
                     own = []
-                    for p in pieces(t):
+                    for p in pieces(t, many):
                         if p not in slot:
                             slot[p] = len(parts)
                             e = encode(p)
@@ -276,5 +289,5 @@ def identify(df: DataFrame, key: str, text: str, label: str, net: Net, min_words
                     rows += [(key_, i, LANGS[g], c, len(got), rec) for i, (g, c) in enumerate(got, 1)]
                 yield pd.DataFrame(rows, columns=["key", "seg", "lang", "confidence", "n_segs", "recorded"])
 
-    src = df.select(df[key].cast("string").alias("key"), df[text].cast("string").alias("text"), df[label].cast("string").alias("label")).filter("text IS NOT NULL")
+    src = df.select(df[key].cast("string").alias("key"), df[text].cast("string").alias("text"), df[label].cast("string").alias("label"), (F.lit(False) if joined is None else F.coalesce(joined, F.lit(False))).alias("joined")).filter("text IS NOT NULL")
     return src.mapInPandas(run, schema)
