@@ -79,4 +79,4 @@ def prediction_weights(df: DataFrame, values: str) -> Column:
 
 def persist_form(df: DataFrame, key: str, labels: str, values: str) -> DataFrame:
     """Labels joined by +, weights as text."""
-    return df.select(key, F.array_join(labels, "+").alias("fordclassif"), F.concat(F.lit("["), F.array_join(F.transform(values, lambda x: x.cast("string")), ", "), F.lit("]")).alias("fordweights"))
+    return df.select(key, F.array_join(labels, "+").alias("classif"), F.concat(F.lit("["), F.array_join(F.transform(values, lambda x: x.cast("string")), ", "), F.lit("]")).alias("weights"))

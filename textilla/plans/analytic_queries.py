@@ -233,9 +233,9 @@ def p12(spark, d):
     return o.select("doc", R6(F.array_max(decide.prediction_weights(o, "values"))).alias("top"))
 
 
-@add("pr13_persist", f"SELECT doc, string_agg(cat, '+' ORDER BY p DESC, cat) AS fordclassif FROM {_S} GROUP BY 1")
+@add("pr13_persist", f"SELECT doc, string_agg(cat, '+' ORDER BY p DESC, cat) AS classif FROM {_S} GROUP BY 1")
 def p13(spark, d):
-    return decide.persist_form(decide.ordered(_scores(spark, d), "doc", "p"), "doc", "labels", "values").select("doc", "fordclassif")
+    return decide.persist_form(decide.ordered(_scores(spark, d), "doc", "p"), "doc", "labels", "values").select("doc", "classif")
 
 
 # Metrics
