@@ -305,3 +305,21 @@ def emd(df: DataFrame, key: str, truth: str, pred: str, categories: Sequence[str
             yield pd.DataFrame({key: b[key], "emd": pd.array(out, dtype="Float64")})
 
     return df.select(key, F.col(truth).alias("t"), F.col(pred).alias("q")).filter((F.size("t") > 0) & (F.size("q") > 0)).mapInPandas(run, f"`{key}` {kind}, emd double")
+
+
+def compare_labels(labels: DataFrame, records: DataFrame, key: str, left: str, right: str, parents: DataFrame, single: bool = False) -> dict[str, DataFrame]:
+    """Two codings of the same records compared: cells (E5, by order and equal), ranked errors, error rate, earth-mover distance.
+
+    Records without one of the lists, or with an item of level 1 in either, are left out.
+    """
+    from .relational import label_pairs, without_level_1
+
+    both = without_level_1(label_pairs(labels, records, key, left, right, single), left, right)
+    cells = mass_confusion(both, key, left, right)
+    return {
+        "cells": cells,
+        "cells_equal": mass_confusion(both, key, left, right, False),
+        "ranked": ranked_errors(cells, "mass"),
+        "error": error_rate(cells, "mass"),
+        "emd": block_emd(both, key, left, right, parents),
+    }

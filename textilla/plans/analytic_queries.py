@@ -622,3 +622,18 @@ def m9(spark, d):
 @add("m11_word_vectors")
 def m11(spark, d):
     return models.word_vectors(tfidf.chunk_sentences(table(spark, d, "proyectos"), "titulo", "resumen"), dim=32, epochs=1).select("word", F.size("vector").alias("dim"))
+
+
+@add("e15_compare_labels", f"{_MASS} SELECT round(1 - sum(mass) FILTER (t = p) / sum(mass), 6) AS error FROM e")
+def e15(spark, d):
+    par = spark.createDataFrame([(c, str(int(c[1:]) % 3)) for c in _C7], "cat string, parent string")
+    pred = decide.labels_from_scores(_scores(spark, d), "doc", 0.3).select("doc", F.col("labels").alias("pred"))
+    got = metrics.compare_labels(_truth(spark, d), pred, "doc", "labels", "pred", par)
+    return got["error"].select(R6("error").alias("error"))
+
+
+@add("m1_prepare", "SELECT referencia, split_part(labelstr, '++', 1) AS tag FROM proyectos JOIN labels_info USING (referencia) WHERE resumen_lang = 'es' AND regexp_full_match(labelstr, '[A-Za-z]+')")
+def m1(spark, d):
+    j = table(spark, d, "proyectos").join(table(spark, d, "labels_info").select("referencia", "labelstr"), "referencia").filter(F.col("labelstr").rlike("^[A-Za-z]+$"))
+    tags, _, _ = models.prepare(j, "referencia", "titulo", "resumen", "titulo_lang", "resumen_lang", "labelstr", "++")
+    return tags.select("referencia", F.col("tags")[0].alias("tag"))
