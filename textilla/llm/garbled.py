@@ -255,4 +255,4 @@ def repair_fields(texts: DataFrame) -> DataFrame:
             b["restored"] = [cell.sub(lambda m, f=f: f.get(m.group(), m.group()), t) for t, f in zip(b["text"], fixed)]
             yield b[["tbl", "rec_key", "fld", "text", "restored", "whole"]]
 
-    return rows.dropDuplicates(["rid"]).join(fixes, "rid").select("tbl", "rec_key", "fld", "text", "whole", "fix").mapInPandas(mend, "tbl string, rec_key string, fld string, text string, restored string, whole boolean")
+    return rows.dropDuplicates(["rid"]).join(fixes.hint("merge"), "rid").select("tbl", "rec_key", "fld", "text", "whole", "fix").mapInPandas(mend, "tbl string, rec_key string, fld string, text string, restored string, whole boolean")

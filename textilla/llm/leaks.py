@@ -226,7 +226,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str
     dh = d.withColumn("rid", F.xxhash64("doc_id", "text")).mapInPandas(hashed(dt, "doc_id"), f"doc_id {dt}, rid bigint, w array<bigint>, seeds array<bigint>")
     ih = i.withColumn("rid", F.xxhash64("item_id", "text")).mapInPandas(hashed(it, "item_id"), f"item_id {it}, rid bigint, w array<bigint>, seeds array<bigint>")
     met = dh.select(F.col("rid").alias("r"), F.explode("seeds").alias("s")).join(ih.select(F.col("rid").alias("q"), F.explode("seeds").alias("s")), "s").select("r", "q").distinct()
-    full = met.join(dh.select("doc_id", F.col("rid").alias("r"), F.col("w").alias("dw")), "r").join(ih.select("item_id", F.col("rid").alias("q"), F.col("w").alias("iw")), "q")
+    full = met.join(dh.select("doc_id", F.col("rid").alias("r"), F.col("w").alias("dw")).hint("merge"), "r").join(ih.select("item_id", F.col("rid").alias("q"), F.col("w").alias("iw")).hint("merge"), "q")
 
     def tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
