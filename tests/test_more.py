@@ -98,3 +98,31 @@ def test_nulls_in_aggregates(spark):
     df = spark.createDataFrame([(1, None, None), (1, "b", 2), (None, "c", 1)], "k int, v string, pos int")
     got = {r["k"]: r["v"] for r in relational.merge_groups(df, "k", [], "v", "pos").collect()}
     assert got == {1: "b", None: "c"}
+
+
+def test_whole_grid_validated(spark, data):
+    """M8 covers every area and model, M9 chooses among them, and the fits agree with Spark ML's."""
+    import numpy as np
+
+    from textilla.plans import analytic_queries as aq
+
+    got = aq.add.queries["m8_cross_validation"](spark, data).collect()
+    areas = {r[0] for r in spark.read.parquet(f"{data}/taxonomy.parquet").select("reference").collect() if not r[0].endswith("_")}
+    names = {m[0] for m in models.grid(["LR"])}
+    assert len(got) == 150 and {(r["cat"], r["model_name"]) for r in got} == {(a, m) for a in areas for m in names}
+    best = aq.add.queries["m9_validated"](spark, data).collect()
+    assert {r["cat"] for r in best} == areas
+    for r in best:
+        assert r["auc"] == max((x["auc"] for x in got if x["cat"] == r["cat"] and x["auc"] is not None), default=None)
+
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(1)
+    rows = [(f"k{i}", Vectors.sparse(5, [0, 1, 4], rng.standard_normal(3).tolist())) for i in range(60)]
+    vec = spark.createDataFrame(rows, ["key", "features"])
+    y = spark.createDataFrame([(k, "a", 1 if v.toArray()[1] + rng.standard_normal() * 0.5 > 0.3 else -1) for k, v in rows], "key string, cat string, y int")
+    some = [m for m in models.grid(["LR"]) if m[0] in ("LRC01", "LRC1", "LRC10")]
+    one = {(r["key"], r["model_name"]): (r["y"], r["score"]) for r in models.cross_validate(vec, y, "key", some, 3).collect()}
+    two = {(r["key"], r["model_name"]): (r["y"], r["score"]) for r in models.cross_validate_logistic(vec, y, "key", some, 3).collect()}
+    assert len(two) == 180 and one.keys() == two.keys()
+    assert all(two[k][0] == v[0] and abs(two[k][1] - v[1]) < 0.01 for k, v in one.items())

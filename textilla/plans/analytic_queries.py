@@ -8,7 +8,7 @@ from ..functions import stemmer, tfidf
 from ..functions import text as tx
 from ..operators import decide, embed, grouping, label_tree, metrics, models, sampling, split
 from ..operators.ranking import global_rank
-from ..session import table
+from ..session import cut, table
 from .registry import Registry
 
 add = Registry()
@@ -596,21 +596,29 @@ def m2(spark, d):
 
 
 def _validated(spark: SparkSession, d: str) -> DataFrame:
-    """Labelled projects under two categories, three folds: the cost of more is a product, not a different plan."""
+    """(cat, model_name, grid_pos, auc, threshold): labelled projects under every area of the taxonomy and every LR model, ten folds."""
     from ..operators.packed import explode_packed
 
     p = table(spark, d, "proyectos").filter("resumen IS NOT NULL")
     lab = explode_packed(table(spark, d, "labels_info"), "referencia", "labelstr").select(F.col("key").alias("referencia"), F.col("val").alias("cat"))
     docs = p.join(lab.select("referencia").distinct(), "referencia", "left_semi")
-    vec = models.features(tfidf.tfidf(docs, "referencia", "resumen"), "referencia", 1 << 12)
-    cats = spark.createDataFrame([("DerNor",), ("HisPat",)], "cat string")
+    vec = cut(models.features(tfidf.tfidf(docs, "referencia", "resumen"), "referencia"))
+    cats = table(spark, d, "taxonomy").filter("NOT endswith(reference, '_')").select(F.col("reference").alias("cat")).distinct()
     y = vec.select("referencia").join(F.broadcast(cats), F.lit(True)).join(lab.distinct().withColumn("hit", F.lit(1)), ["referencia", "cat"], "left").select("referencia", "cat", F.when(F.col("hit") == 1, 1).otherwise(-1).alias("y"))
-    return models.cross_validate(vec, y, "referencia", [m for m in models.grid(["LR"]) if m[0] == "LRC10"], 3)
+    grid = models.grid(["LR"])
+    scores = cut(models.cross_validate_logistic(vec, y, "referencia", grid))
+    return models.evaluate_models(scores, [r["cat"] for r in cats.orderBy("cat").collect()], grid)
 
 
 @add("m8_cross_validation")
 def m8(spark, d):
-    return models.evaluate(_validated(spark, d))
+    return _validated(spark, d).select("cat", "model_name", "auc", "threshold")
+
+
+@add("m9_validated")
+def m9v(spark, d):
+    """The best model of each area by the results of M8; m9_best_models has the same choice on columns that SQL can state."""
+    return models.best_models(_validated(spark, d))
 
 
 @add("m9_best_models", "SELECT cat, model_name, auc FROM (SELECT 'c' || n_regionkey AS cat, n_name AS model_name, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_nationkey / 100.0 END::DOUBLE AS auc, row_number() OVER (PARTITION BY n_regionkey ORDER BY coalesce(CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_nationkey / 100.0 END, 0) DESC, n_nationkey) AS r FROM nation) WHERE r = 1")
