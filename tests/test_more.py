@@ -126,3 +126,30 @@ def test_whole_grid_validated(spark, data):
     two = {(r["key"], r["model_name"]): (r["y"], r["score"]) for r in models.cross_validate_logistic(vec, y, "key", some, 3).collect()}
     assert len(two) == 180 and one.keys() == two.keys()
     assert all(two[k][0] == v[0] and abs(two[k][1] - v[1]) < 0.01 for k, v in one.items())
+
+
+def test_sets_scored_whole(spark, data):
+    """Scores of whole tables equal those of the operators by pairs; the queries read every document and definition."""
+    import random
+
+    from textilla.functions import text as tx
+    from textilla.plans import analytic_queries as aq
+
+    rng = random.Random(3)
+    words = spark.createDataFrame([(f"w{i}", [rng.gauss(0, 1) for _ in range(4)]) for i in range(30)], "word string, vector array<double>")
+    pick = lambda n: [f"w{rng.randrange(34)}" for _ in range(n)]
+    left = spark.createDataFrame([(i, pick(rng.randrange(1, 9))) for i in range(25)] + [(90, ["no"]), (91, [])], "lid bigint, tokens array<string>")
+    right = spark.createDataFrame([(f"r{i}", pick(5)) for i in range(4)] + [("none", ["no", "ni"]), ("empty", [])], "rid string, tokens array<string>")
+    got = {(r["lid"], r["rid"]): r for r in embed.score_sets(left, right, words, "word", "vector", 1.0).collect()}
+    pairs = embed.kernel(left, right, words, "word", "vector", 1.0)
+    score = {(r["lid"], r["rid"]): r["score"] for r in embed.kernel_score(pairs).collect()}
+    least = {(r["lid"], r["rid"]): r["d"] for r in embed.row_minima(left, right, words, "word", "vector").collect()}
+    assert got.keys() == least.keys() and {k for k, r in got.items() if r["score"] is not None} == score.keys()
+    assert all(abs(got[k]["score"] - v) < 1e-9 for k, v in score.items()) and all(abs(got[k]["d"] - v) < 1e-6 for k, v in least.items())
+    once = {(r["a"], r["b"]): r["k"] for r in embed.kernel_pairs(left, right, words, "word", "vector", 1.0).collect()}
+    assert all(abs(once[r["a"], r["b"]] - r["k"]) < 1e-12 for r in pairs.collect()) and len(once) == pairs.select("a", "b").distinct().count()
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").filter(F.size(tx.words(F.col("text"))) > 0).count()
+    defs = spark.read.parquet(f"{data}/taxonomy.parquet").filter("definition IS NOT NULL").count()
+    assert docs > 4 and aq.add.queries["w6_documents"](spark, data).count() == docs * defs
+    assert aq.add.queries["pr17_documents"](spark, data).select("rid").distinct().count() == defs

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -94,3 +96,55 @@ def row_minima(left: DataFrame, right: DataFrame, words: DataFrame, key: str, ve
     side = lambda df, i, t: df.select(i, F.explode(F.array_distinct("tokens")).alias(t)).join(words.select(F.col(key).alias(t), F.col(vec).alias(f"v{t}")), t, "left")
     d = side(left, "lid", "a").join(side(right, "rid", "b"), F.lit(True)).withColumn("d", F.coalesce(distance2(F.col("va"), F.col("vb")), F.lit(9999.0)))
     return d.groupBy("lid", "rid", "a").agg(F.min("d").alias("d")).groupBy("lid", "rid").agg(F.avg("d").alias("d"))
+
+
+def kernel_pairs(left: DataFrame, right: DataFrame, words: DataFrame, key: str, vec: str, sigma: float) -> DataFrame:
+    """W5 for whole tables: (a, b, k) of every known token of any left set with every one of any right set, each pair once.
+
+    The kernel depends on the tokens alone: the matrix of a left and a right set is the rows of their tokens.
+    """
+    one = lambda df, i: df.select(F.explode("tokens").alias(i)).distinct().select(i, F.array(i).alias("tokens"))
+    return kernel(one(left, "lid"), one(right, "rid"), words, key, vec, sigma).select("a", "b", "k")
+
+
+def score_sets(left: DataFrame, right: DataFrame, words: DataFrame, key: str, vec: str, sigma: float, digits: int = 3) -> DataFrame:
+    """P17 and W6 for whole tables: (lid, rid, score, d) of every left set with every right one, as ``kernel_score`` and ``row_minima``.
+
+    score is null where a set has no known word; sets without tokens have no row. Left sets are read in one pass without a
+    shuffle; within a batch each distinct token meets the right tokens once. The right sets, a stated set such as
+    categories, and the vectors, a vocabulary that training holds on the driver anyway, go to every task.
+    """
+    vectors = words.select(F.col(key), F.col(vec).cast("array<double>").alias("v")).collect()
+    known = {r[0]: i for i, r in enumerate(vectors)}
+    table = np.array([r[1] for r in vectors], dtype=np.float64)
+    mean2 = float((table * table).sum(1).mean()) if len(table) else 1.0
+    sets = [(r["rid"], len(set(r["tokens"])), sorted({known[t] for t in r["tokens"] if t in known})) for r in right.select("rid", "tokens").filter("size(tokens) > 0").collect()]
+    shared = left.sparkSession.sparkContext.broadcast((known, table))
+    full = [k for k, x in enumerate(sets) if x[2]]
+    columns = np.array([c for k in full for c in sets[k][2]], dtype=np.int64)
+    sizes = np.array([len(sets[k][2]) for k in full], dtype=np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if full else sizes
+    partly = np.array([sets[k][1] > len(sets[k][2]) for k in full], dtype=bool)
+    rids = [x[0] for x in sets]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, table = shared.value
+        rounded = lambda d: np.round(np.exp(-d / mean2 / sigma), digits)
+        for batch in batches:
+            of = [np.array([known[t] for t in x if t in known], dtype=np.int64) for x in batch["tokens"]]
+            used = np.unique(np.concatenate([*of, np.zeros(0, np.int64)]))
+            if full and len(used):
+                d2 = np.stack([((table[used] - table[c]) ** 2).sum(1) for c in columns], axis=1)
+                least = np.minimum.reduceat(d2, starts, axis=1)
+                near, far = rounded(least), np.where(partly, np.minimum(least, 9999.0), least)
+            score, d = np.full((len(batch), len(sets)), np.nan), np.full((len(batch), len(sets)), 9999.0)
+            for i, (own, tokens) in enumerate(zip(of, batch["tokens"])):
+                if full and len(own):
+                    at = np.searchsorted(used, own)
+                    score[i, full] = near[at].mean(0) + np.add.reduceat(rounded(d2[at].min(0)), starts) / sizes
+                    d[i, full] = (far[at].sum(0) + 9999.0 * (len(tokens) - len(own))) / len(tokens)
+            out = pd.DataFrame({"lid": np.repeat(batch["lid"].to_numpy(), len(sets)), "rid": rids * len(batch), "score": score.ravel(), "d": d.ravel()})
+            yield out.astype({"score": object}).where(out.notna(), None)
+
+    kinds = [f"{i} {df.schema[i].dataType.simpleString()}" for df, i in ((left, "lid"), (right, "rid"))]
+    return left.select("lid", F.array_distinct("tokens").alias("tokens")).filter("size(tokens) > 0").mapInPandas(run, ", ".join([*kinds, "score double", "d double"]))

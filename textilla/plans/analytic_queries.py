@@ -453,6 +453,32 @@ def p17(spark, d):
     return embed.kernel_score(embed.kernel(*_sets(spark), table(spark, d, "embeddings"), "vec_id", "embedding", 1.0)).select("lid", "rid", F.round("score", 5).alias("score"))
 
 
+def _documents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tokens of all documents and of all definitions, and vectors trained on the words of all projects as in m11_word_vectors."""
+    left = table(spark, d, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("lid"), tx.words(F.col("text")).alias("tokens"))
+    right = table(spark, d, "taxonomy").filter("definition IS NOT NULL").select(F.col("reference").alias("rid"), tx.words(F.col("definition")).alias("tokens"))
+    corpus = table(spark, d, "proyectos").select(tx.words(F.concat_ws("\n", "titulo", "resumen")).alias("tokens"))
+    return left, right, cut(models.word_vectors(corpus, dim=32, epochs=1))
+
+
+@add("w5_documents")
+def w5d(spark, d):
+    """W5 of all documents with all definitions, each pair of tokens once."""
+    return embed.kernel_pairs(*_documents(spark, d), "word", "vector", 1.0).select("a", "b", R6("k").alias("k"))
+
+
+@add("w6_documents")
+def w6d(spark, d):
+    """W6 of every document with every definition."""
+    return embed.score_sets(*_documents(spark, d), "word", "vector", 1.0).select("lid", "rid", F.round("d", 5).alias("d"))
+
+
+@add("pr17_documents")
+def p17d(spark, d):
+    """P17 of every document with every definition."""
+    return embed.score_sets(*_documents(spark, d), "word", "vector", 1.0).filter("score IS NOT NULL").select("lid", "rid", F.round("score", 5).alias("score"))
+
+
 @add("a8_nearest_of_each", "SELECT q, vec_id, rank FROM (SELECT q.vec_id AS q, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), e.vec_id)::INT AS rank FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id) WHERE rank <= 5")
 def a8(spark, d):
     """The stated set of queries is every vector whose number is divisible by 100, against all."""
