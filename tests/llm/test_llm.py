@@ -359,3 +359,13 @@ def test_queries(spark, data, name):
     n = df.count()
     assert n >= 0 and (not name.endswith("_found") or df.distinct().count() == n)
     assert math.isfinite(n)
+
+
+def test_mixing_without_caps(spark):
+    """A null or zero max_repeat is a matter of its source alone."""
+    d = spark.createDataFrame([(i, "palabra " * 20, "abc"[i % 3]) for i in range(300)], "doc_id bigint, text string, source string")
+    rates = lambda *caps: {r["source"]: r for r in mix_sources(d, spark.createDataFrame(list(zip("abc", (0.5, 0.3, 0.2), caps)), "source string, target_share double, max_repeat int"))[1].collect()}
+    full, null, zero, free = rates(1, 1, 4), rates(1, 1, None), rates(1, 1, 0), rates(None, None, None)
+    assert full["a"]["rate"] == null["a"]["rate"] == zero["a"]["rate"] == 1 and full["b"]["rate"] == null["b"]["rate"] == zero["b"]["rate"] > 0
+    assert null["c"]["rate"] == full["c"]["rate"] and null["c"]["tokens_out"] > 0 and zero["c"]["tokens_out"] == 0 and not zero["c"]["met"]
+    assert all(abs(free[s]["rate"] - r) < 1e-9 for s, r in zip("abc", (1.5, 0.9, 0.6)))

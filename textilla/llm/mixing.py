@@ -45,17 +45,20 @@ def plan_mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = No
 
     ``total_tokens`` is the size of the mixture; by default the largest at which every source that has tokens
     reaches its target within its cap, so that no cap binds and the shares come out right. A source's rate is
-    what its target asks for, never more than its cap; without a target it is 0. Sources without documents and
+    what its target asks for, never more than its cap; without a target it is 0. A null max_repeat is no cap and 0
+    leaves the source out; neither has a say in the size, which is that of all text with a target where no other
+    source has one. Sources without documents and
     documents without a target keep their row. The table has one row per source: all of it is small work.
     """
     have = sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens"))
     want = targets.groupBy(F.lower(F.trim("source")).alias("source")).agg(F.sum("target_share").alias("target_share"), F.max("max_repeat").alias("max_repeat"))
-    rows = have.join(want, "source", "full_outer").na.fill(0, ["n_docs", "tokens", "target_share", "max_repeat"])
-    cap = F.when((F.col("target_share") > 0) & (F.col("tokens") > 0), F.col("max_repeat") * F.col("tokens") / F.col("target_share"))
+    rows = have.join(want, "source", "full_outer").na.fill(0, ["n_docs", "tokens", "target_share"])
+    open_ = (F.col("target_share") > 0) & (F.col("tokens") > 0) & (F.col("max_repeat").isNull() | (F.col("max_repeat") > 0))
+    cap = F.when(open_, F.col("max_repeat") * F.col("tokens") / F.col("target_share"))
     size = F.lit(float(total_tokens)) if total_tokens is not None else F.col("size")
     if total_tokens is None:
         # one row per source, so that a window over all of them is bounded by the table of targets and spellings
-        rows = rows.withColumn("size", F.coalesce(F.min(cap).over(_all()), F.lit(0.0)))
+        rows = rows.withColumn("size", F.coalesce(F.min(cap).over(_all()), F.sum(F.when(open_, F.col("tokens"))).over(_all()).cast("double"), F.lit(0.0)))
     rate = F.when(F.col("tokens") > 0, F.least(F.col("max_repeat").cast("double"), F.col("target_share") * size / F.col("tokens"))).otherwise(0.0)
     return rows.withColumn("rate", rate).drop("size")
 
