@@ -369,3 +369,7 @@ def test_mixing_without_caps(spark):
     assert full["a"]["rate"] == null["a"]["rate"] == zero["a"]["rate"] == 1 and full["b"]["rate"] == null["b"]["rate"] == zero["b"]["rate"] > 0
     assert null["c"]["rate"] == full["c"]["rate"] and null["c"]["tokens_out"] > 0 and zero["c"]["tokens_out"] == 0 and not zero["c"]["met"]
     assert all(abs(free[s]["rate"] - r) < 1e-9 for s, r in zip("abc", (1.5, 0.9, 0.6)))
+
+
+def test_dominant_script():
+    assert mixed_tokens("росa сaхар") == [] and mixed_tokens("rоса") == [] and mixed_tokens("cаsа pо") == [("cаsа", "casa"), ("pо", "po")]

@@ -63,7 +63,7 @@ def mixed_tokens(text: str) -> list[tuple[str, str]]:
         return out
     for m in _letters.finditer(text):
         t = m.group()
-        if _other.search(t) and _latin.search(t):
+        if 0 < len(_other.findall(t)) <= len(_latin.findall(t)):
             read = t.translate(_LOOKS)
             if not _other.search(read):
                 out.append((t, read))
