@@ -373,3 +373,16 @@ def test_mixing_without_caps(spark):
 
 def test_dominant_script():
     assert mixed_tokens("росa сaхар") == [] and mixed_tokens("rоса") == [] and mixed_tokens("cаsа pо") == [("cаsа", "casa"), ("pо", "po")]
+
+
+def test_subjects_whole(spark):
+    """Blanks of any kind part words, and too many subjects are an error, not a cut."""
+    rng, own = random.Random(5), {"Mar": ["marea", "oleaje", "arena", "costa", "fondo", "sal"], "Ley": ["tribunal", "juez", "pleito", "fuero", "pena", "jurado"]}
+    text = lambda c: " ".join(" ".join(rng.choice(own[c]) for _ in range(8)).capitalize() + "." for _ in range(4))
+    rows = [(f"d{i}", "t", text("Ley" if i % 2 else "Mar")) for i in range(80)] + [("hard", "t", text("Mar").replace(" ", "\u00a0"))]
+    docs = spark.createDataFrame(rows, "referencia string, titulo string, resumen string")
+    labels = spark.createDataFrame([(f"d{i}", "Ley" if i % 2 else "Mar") for i in range(40)], "referencia string, labelstr string")
+    tax = lambda n: spark.createDataFrame([("Mar", "El mar", "marea y oleaje"), ("Ley", "La ley", "tribunal y juez")] + [(f"X{i}", f"x{i}", None) for i in range(n)], "reference string, name string, definition string")
+    assert {r["referencia"] for r in subject_areas(docs, labels, tax(0)).collect()} >= {"d0", "d1", "hard"}
+    with pytest.raises(ValueError):
+        subject_areas(docs, labels, tax(62))

@@ -34,6 +34,10 @@ def _features(own: np.ndarray) -> np.ndarray:
     return ((both >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int32)
 
 
+#: Bits of a label mask, a signed 64-bit number.
+AREAS = 63
+
+
 def units(df: DataFrame, min_words: int) -> DataFrame:
     """(key, feats, cuts, n_abstract, n_words, mask) of rows (key, title, text, mask): features of all sentences in a row, the text's first, and where each ends."""
 
@@ -185,8 +189,10 @@ def subject_areas(docs: DataFrame, labels: DataFrame, taxonomy: DataFrame, extra
     texts differ; other columns are not read; empty tables give no rows. The model has ``BUCKETS`` x subjects
     numbers at any corpus size: that, and nothing that grows, is gathered and sent.
     """
-    areas = [(r["reference"], r["name"], r["definition"]) for r in taxonomy.select("reference", "name", "definition").filter("reference IS NOT NULL AND NOT endswith(reference, '_')").orderBy("reference").limit(60).collect()]
+    areas = [(r["reference"], r["name"], r["definition"]) for r in taxonomy.select("reference", "name", "definition").filter("reference IS NOT NULL AND NOT endswith(reference, '_')").orderBy("reference").limit(AREAS + 1).collect()]
     n = len(areas)
+    if n > AREAS:
+        raise ValueError(f"more than {AREAS} subjects: a label mask has no bit for each")
     if not n:
         return docs.sparkSession.createDataFrame([], "referencia string, area string, n_sentences int, n_any int, share double, posterior double")
     names = {x.lower(): 1 << i for i, a in enumerate(areas) for x in a[:2] if x}
@@ -194,8 +200,8 @@ def subject_areas(docs: DataFrame, labels: DataFrame, taxonomy: DataFrame, extra
     masks = explode_packed(labels, key, label).select("key", bit.alias("bit")).filter("bit IS NOT NULL").groupBy("key").agg(F.bit_or("bit").alias("mask"))
     src = docs.select(docs[key].cast("string").alias("key"), docs[title].cast("string").alias("title"), docs[text].cast("string").alias("text")).filter("key IS NOT NULL AND text IS NOT NULL")
     body = src.join(masks, "key", "left").select("key", "title", "text", F.coalesce("mask", F.lit(0)).cast("bigint").alias("mask"))
-    body = body.filter(F.size(F.split(F.trim("text"), r"\s+")) > 4)
-    rows = cut(units(body, min_words))
+    # a labelled text of a few words, such as a placeholder, teaches nothing
+    rows = cut(units(body, min_words).filter("n_words > 4"))
     spark = docs.sparkSession
     seeds = spark.createDataFrame([(None, None, d, 1 << i) for i, (_, _, d) in enumerate(areas) if d] + [(None, None, a[1], 1 << i) for i, a in enumerate(areas) if a[1]], "key string, title string, text string, mask bigint")
     if extra is not None:
