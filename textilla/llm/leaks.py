@@ -10,21 +10,25 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .textnorm import LOOKS, plain_characters, rolling, word_hashes, words
+from .textnorm import latin_looks, plain_characters, rolling, word_hashes, words
 
 #: Items whose seeds number no more than this go to every task; more are joined by a shuffle.
 MAX_SENT = 400_000
 SEED, TILE = 5, 3
 _broken = re.compile(r"(?<=[^\W\d_])[-­‐‑][ \t]*\r?\n[ \t]*(?=[^\W\d_])")
-_looks = str.maketrans(LOOKS)
+_end = re.compile("[\r\n]")
 
 
 def read(text: str | None) -> list[str]:
     """Words without regard to case, accents, spacing, line ends within a word, and characters that look alike or are unseen."""
     if not text:
         return []
-    text = _broken.sub("", plain_characters(_broken.sub("", text)))
-    return words(text if text.isascii() else text.translate(_looks))
+    if _end.search(text):
+        text = _broken.sub("", text)
+    plain = plain_characters(text)
+    if plain is not text and _end.search(plain):
+        plain = _broken.sub("", plain)
+    return words(latin_looks(plain))
 
 
 def tiles(a: list[int], b: list[int], least: int = TILE) -> list[tuple[int, int, int]]:

@@ -33,11 +33,14 @@ _accent = re.compile(f"[{ACCENT}]")
 _joined = re.compile(f"(?<=[^\\W\\d_{OTHER}])[‌‍]|[‌‍](?![؀-෿\U0001f000-\U0001ffff])")
 _letters = re.compile(r"[^\W\d_]+")
 _other = re.compile(f"[{OTHER}]")
+_unusual = re.compile(f"[{INVISIBLE}{BLANK}{HYPHEN}{LIGATURE}{WIDTH}{ACCENT}]")
 _latin = re.compile("[a-zA-ZÀ-ɏ]")
 
 
 def plain_characters(text: str) -> str:
     """Width variants, ligatures, apart accents, blanks, hyphens and invisible characters in their usual form."""
+    if text.isascii() and text.isprintable() or not _unusual.search(text):
+        return text
     if _wide.search(text):
         text = _wide.sub(lambda m: unicodedata.normalize("NFKC", m.group()), text)
     if _invisible.search(text):
@@ -83,8 +86,13 @@ def read_alike(text: str) -> str:
     return repair(text, dict(mixed_tokens(text)))
 
 
+def latin_looks(text: str) -> str:
+    """For comparison only: every look-alike letter as the Latin one, in whatever word."""
+    return text.translate(_LOOKS) if _other.search(text) else text
+
+
 _word = re.compile(r"[^\W_]+")
-_marks = {c: None for c in range(0x300, 0x370)}
+_marks = re.compile("[\u0300-\u036f]+")
 
 
 def words(text: str | None) -> list[str]:
@@ -93,7 +101,7 @@ def words(text: str | None) -> list[str]:
         return []
     text = text.replace("_x000D_", " ").lower()
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text).translate(_marks)
+        text = _marks.sub("", unicodedata.normalize("NFKD", text))
     return _word.findall(text)
 
 
