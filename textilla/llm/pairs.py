@@ -1,8 +1,8 @@
-"""What the operators on pairs of similar texts share: shingles, sketches for lossless filters, frequencies, components."""
+"""What the operators on pairs of similar texts share: shingles, rarity, sketches for lossless filters, components."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,38 +16,47 @@ from .textnorm import rolling, word_hashes, words
 #: differ, no more than (n + m - h) / 2 shingles can be shared.
 LANES = 16
 SIG = [f"s{i}" for i in range(LANES)]
+#: Shingles that a task counts, on average; frequencies from which all count as equally common; members of a block;
+#: numbers that are sent to every task at most, of which 16 MB make a table.
+PER_TASK, COMMON, BLOCK, SENT = 2_000_000, 4096, 1024, 500_000
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Each shingle flips one bit."""
-    bits = np.zeros(LANES * 64, np.uint8)
-    np.bitwise_xor.at(bits, (shingles.view(np.uint64) >> np.uint64(20)) % np.uint64(LANES * 64), 1)
-    return np.packbits(bits).view(np.int64)
+def met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A merge join: no side that grows with the corpus is broadcast, whatever an estimate says of arrays and exploded rows."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
 
 
-def prepare(df: DataFrame, key: str, text: str, k: int, min_words: int) -> DataFrame:
-    """(rid, key, cls_hash, n, words, shingles, s0..) of the texts that take part, one row each.
+def sketches(shingles: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """(n, LANES): each shingle flips one bit of its owner's sketch."""
+    bits = np.bincount(owner * (LANES * 64) + ((shingles.view(np.uint64) >> np.uint64(20)) % np.uint64(LANES * 64)).astype(np.int64), minlength=n * LANES * 64)
+    return np.packbits((bits & 1).astype(np.uint8).reshape(n, LANES * 64), axis=1).view(np.int64)
 
-    words are hashes in order, shingles the sorted distinct hashes of k words in a row, n their number. Null and
-    short texts and rows without a key take no part; rid tells rows of one key with different texts apart.
+
+def prepare(df: DataFrame, key: str, text: str, k: int, min_words: int, body: str) -> DataFrame:
+    """(rid, key, cls_hash, n, body, s0..) of the texts that take part, one row each.
+
+    ``body`` is ``words``, their hashes in order, or ``shingles``, the sorted distinct hashes of k words in a row,
+    whose number is n. Null and short texts and rows without a key take no part; rid tells rows of one key with
+    different texts apart.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            hashes, offs = word_hashes([words(t) for t in b["text"]])
-            keys, rows = b["key"].tolist(), []
-            for i, key_ in enumerate(keys):
-                own = hashes[offs[i] : offs[i + 1]]
-                if len(own) < max(min_words, k):
-                    continue
-                sh = np.unique(rolling(own, k))
-                copy = xxhash.xxh64_intdigest(sh.tobytes()) - (1 << 63)
-                rid = xxhash.xxh64_intdigest(f"{key_}\0{copy}".encode()) - (1 << 63)
-                rows.append((rid, key_, copy, len(sh), own.view(np.int64), sh, *sketch(sh)))
-            yield pd.DataFrame(rows, columns=["rid", "key", "cls_hash", "n", "words", "shingles", *SIG])
+        for whole in batches:
+            for lo in range(0, len(whole), 1000):
+                b = whole.iloc[lo : lo + 1000]
+                lists = [words(t) for t in b["text"]]
+                use = [i for i, w in enumerate(lists) if len(w) >= max(min_words, k)]
+                hashes, offs = word_hashes([lists[i] for i in use])
+                own = [hashes[offs[i] : offs[i + 1]] for i in range(len(use))]
+                sh = [np.unique(rolling(w, k)) for w in own]
+                keys, copies = b["key"].iloc[use].tolist(), [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sh]
+                sizes = np.array([len(s) for s in sh], np.int64)
+                sig = sketches(np.concatenate(sh), np.repeat(np.arange(len(sh)), sizes), len(sh)) if sh else np.zeros((0, LANES), np.int64)
+                rid = [xxhash.xxh64_intdigest(f"{a}\0{c}".encode()) - (1 << 63) for a, c in zip(keys, copies)]
+                yield pd.DataFrame({"rid": np.array(rid, np.int64), "key": np.array(keys, object), "cls_hash": np.array(copies, np.int64), "n": sizes.astype(np.int32), body: sh if body == "shingles" else [w.view(np.int64) for w in own]} | {s: sig[:, i] for i, s in enumerate(SIG)})
 
     src = df.select(df[key].cast("string").alias("key"), df[text].cast("string").alias("text")).filter("key IS NOT NULL AND text IS NOT NULL")
-    return src.mapInPandas(run, "rid bigint, key string, cls_hash bigint, n int, words array<bigint>, shingles array<bigint>, " + ", ".join(f"{s} bigint" for s in SIG))
+    return src.mapInPandas(run, f"rid bigint, key string, cls_hash bigint, n int, {body} array<bigint>, " + ", ".join(f"{s} bigint" for s in SIG))
 
 
 def collapse(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -56,15 +65,159 @@ def collapse(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     members: (key, cls). However many copies a text has, they meet in a minimum that is taken map-side first.
     """
     texts = cut(texts)
-    first = texts.groupBy("cls_hash", "n").agg(F.min("rid").alias("cls"))
-    members = texts.select("key", "cls_hash", "n").join(first, ["cls_hash", "n"]).select("key", "cls").distinct()
-    classes = texts.join(first.select(F.col("cls").alias("rid")), "rid", "left_semi").dropDuplicates(["rid"]).withColumnRenamed("rid", "cls").drop("key", "cls_hash")
-    return classes, members
+    light = texts.select("rid", "key", "cls_hash", "n")
+    first = light.groupBy("cls_hash", "n").agg(F.min("rid").alias("cls"))
+    members = met(light, first, ["cls_hash", "n"]).select("key", "cls").distinct()
+    classes = met(texts.dropDuplicates(["rid"]), first.select(F.col("cls").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "cls").drop("key", "cls_hash")
+    return cut(classes), cut(members)
+
+
+def _slots(df: DataFrame, parts: int) -> np.ndarray:
+    """For each of ``parts`` partitions a number that hash partitioning sends there."""
+    spark = df.sparkSession
+    got = spark.range(parts * 40, numPartitions=1).select(F.col("id").cast("int").alias("v")).groupBy(F.pmod(F.hash("v"), F.lit(parts)).alias("p")).agg(F.min("v").alias("v")).collect()
+    out = np.arange(parts, dtype=np.int32)
+    for r in got:
+        out[r["p"]] = r["v"]
+    return out
+
+
+def _take(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of several ranges in a row."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+_PACK = "slot int, cls binary, n binary, size binary, h binary, pos binary, df binary"
 
 
-def frequencies(rows: DataFrame, column: str) -> DataFrame:
-    """(column, df) of what occurs in two classes or more; what occurs once joins nothing."""
-    return rows.groupBy(column).agg(F.count("*").alias("df")).filter("df > 1")
+def _packed(slots: np.ndarray, at: np.ndarray, cls: np.ndarray, n: np.ndarray, size: np.ndarray, *elements: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Runs of one class each, sent to the partitions ``at``, as one row of arrays per partition."""
+    order = np.argsort(at, kind="stable")
+    starts = (np.cumsum(size) - size)[order]
+    at, cls, n, size = at[order], cls[order], n[order], size[order]
+    pick = _take(starts, size)
+    elements = [x[pick] if len(x) else x for x in elements]  # h, pos, df, of which some are not there
+    edge = np.r_[np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), len(at)] if len(at) else np.zeros(1, np.int64)
+    ends = np.r_[0, np.cumsum(size)]
+    rows = [(int(slots[at[a]]), cls[a:z].tobytes(), n[a:z].tobytes(), size[a:z].tobytes(), *(x[ends[a] : ends[z]].tobytes() for x in elements)) for a, z in zip(edge[:-1], edge[1:])]
+    yield pd.DataFrame(rows, columns=["slot", "cls", "n", "size", "h", "pos", "df"])
+
+
+def _read(b: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    return tuple(np.frombuffer(b"".join(b[c]), t) for c, t in (("cls", np.int64), ("n", np.int32), ("size", np.int32), ("h", np.int64), ("pos", np.int32), ("df", np.int32)))
+
+
+def _runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the runs of equal numbers."""
+    start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
+    return start, np.diff(np.r_[start, len(owner)])
+
+
+def _left(size: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """Lengths of runs of which only what is kept is left."""
+    return np.bincount(np.repeat(np.arange(len(size)), size)[keep], minlength=len(size)).astype(np.int32)
+
+
+def ranked(classes: DataFrame, shingles: Callable[[pd.DataFrame], list[np.ndarray]], columns: list[str], then: Callable[[int, int, np.ndarray, np.ndarray, np.ndarray], tuple | None], schema: str, places: bool = False) -> DataFrame:
+    """``then(cls, n, h, pos, df)`` of each class with shingles that another one holds, too: these, the rarest first.
+
+    df is the number of classes that hold a shingle, ``COMMON`` at most; equal ones stand by hash, so that all
+    classes keep one order. ``shingles`` takes them from the ``columns`` of a batch; with ``places`` they may
+    repeat, their places go along, and df counts them all. They travel in arrays, once by hash to be counted and
+    once by class to be ordered, in as many partitions as their number asks for. A task holds the shingles of its
+    hash range; those of a common shingle pass through as soon as it is known for one.
+    """
+    spark = classes.sparkSession
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_TASK))
+    slots = _slots(classes, parts)
+    none = np.zeros(0, np.int32)
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for lo in range(0, len(whole), 2000):
+                b = whole.iloc[lo : lo + 2000]
+                lists = shingles(b)
+                h = np.concatenate(lists)
+                owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+                pos = np.concatenate([np.arange(len(x), dtype=np.int32) for x in lists]) if places else none
+                at = ((h.view(np.uint64) >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(at, kind="stable")
+                at, owner, h = at[order], owner[order], h[order]
+                start, size = _runs(at.astype(np.int64) * len(lists) + owner)
+                yield from _packed(slots, at[start], b["cls"].to_numpy()[owner[start]], b["n"].to_numpy(np.int32)[owner[start]], size.astype(np.int32), h, pos[order] if places else pos, none)
+
+    def emit(cls: np.ndarray, n: np.ndarray, size: np.ndarray, h: np.ndarray, pos: np.ndarray, df: np.ndarray, keep: np.ndarray) -> Iterator[pd.DataFrame]:
+        owner = np.repeat(np.arange(len(cls)), size)[keep]
+        start, length = _runs(owner)
+        own = owner[start]
+        at = ((cls[own].view(np.uint64) >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+        yield from _packed(slots, at, cls[own], n[own], length.astype(np.int32), h[keep], pos[keep] if places else pos, df[keep])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, hot, n_held, limit = [], np.zeros(0, np.int64), 0, 4 * PER_TASK
+
+        def drop(cls: np.ndarray, n: np.ndarray, size: np.ndarray, h: np.ndarray, pos: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, ...]:
+            return cls, n, _left(size, ~gone), h[~gone], pos[~gone] if places else pos
+
+        for b in batches:
+            *own, _ = _read(b)
+            if len(hot):
+                known = np.isin(own[3], hot)
+                yield from emit(*own, np.full(len(known), COMMON, np.int32), known)
+                own = drop(*own, known)
+            held.append(own)
+            n_held += len(own[3])
+            if n_held > limit:  # what is common by now passes through
+                own = [np.concatenate(x) for x in zip(*held)]
+                every, times = np.unique(own[3], return_counts=True)
+                if (times >= COMMON).any():
+                    hot = np.r_[hot, every[times >= COMMON]]
+                    known = np.isin(own[3], hot)
+                    yield from emit(*own, np.full(len(known), COMMON, np.int32), known)
+                    own = drop(*own, known)
+                held, n_held = [own], len(own[3])
+                limit = max(limit, 2 * n_held)
+        if held:
+            cls, n, size, h, pos = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(h, kind="stable")
+            _, length = _runs(h[order])
+            df = np.empty(len(h), np.int32)
+            df[order] = np.repeat(np.minimum(length, COMMON), length)
+            ends = np.r_[0, np.cumsum(size)]
+            for lo in range(0, len(cls), 200_000):
+                hi = min(len(cls), lo + 200_000)
+                x = slice(ends[lo], ends[hi])
+                yield from emit(cls[lo:hi], n[lo:hi], size[lo:hi], h[x], pos[x], df[x], df[x] > 1)
+
+    def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = [_read(b) for b in batches]
+        names = [c.split()[0] for c in schema.split(", ")]
+        if not got:
+            return
+        cls, n, size, h, pos, df = (np.concatenate(x) for x in zip(*got))
+        ids, first, back = np.unique(cls, return_index=True, return_inverse=True)
+        owner = np.repeat(back, size)
+        at = np.lexsort((h, df, owner))
+        h, df, owner, pos = h[at], df[at], owner[at], pos[at] if places else pos
+        ends = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(ids)))]
+        for lo in range(0, len(ids), 5000):
+            rows = []
+            for i in range(lo, min(len(ids), lo + 5000)):
+                x = slice(ends[i], ends[i + 1])
+                rows.append(then(int(ids[i]), int(n[first[i]]), h[x], pos[x], df[x]))
+            yield pd.DataFrame([r for r in rows if r is not None], columns=names)
+
+    by_hash = classes.select("cls", "n", *columns).mapInPandas(spread, _PACK).repartition(parts, "slot")
+    return by_hash.mapInPandas(count, _PACK).repartition(parts, "slot").mapInPandas(order, schema)
+
+
+def only(table: DataFrame, ids: DataFrame, on: str = "cls") -> DataFrame:
+    """The rows of ``table`` whose number is among ``ids``: sent to the table if they are few, else met by a merge join."""
+    if ids.count() <= SENT:
+        return table.join(F.broadcast(ids), on, "left_semi")
+    return met(table, ids, on, "left_semi")
 
 
 def may_match(a: str, b: str, share: float) -> Column:
@@ -87,10 +240,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = met(both.filter("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         kept = large.filter("u != v").distinct()
         low = kept.groupBy("u").agg(F.min("v").alias("m"))
-        joined = kept.join(low, "u")
+        joined = met(kept, low, "u")
         e = cut(joined.select("u", F.col("m").alias("v")).unionByName(joined.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))).filter("u != v").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
@@ -101,11 +254,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 def groups(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(key, grp): members of one component, or of one class with several members, share a group."""
-    root = components(edges)
-    return members.join(root, members["cls"] == root["node"], "left").select("key", F.coalesce("root", "cls").alias("grp"))
+    root = components(edges).select(F.col("node").alias("cls"), "root")
+    return met(members, root, "cls", "left").select("key", F.coalesce("root", "cls").alias("grp"))
+
+
+def blocked(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``left`` x ``right`` within each grp, columns named apart: block by block, so that no task has all pairs of a large group.
+
+    A group's block numbers follow from its size; members fall into blocks by the hash of their key.
+    """
+    both = left.select("grp", "key").unionByName(right.select("grp", "key")) if left is not right else left
+    sizes = both.groupBy("grp").agg((F.floor((F.count("*") - 1) / BLOCK) + 1).cast("int").alias("blocks")).filter("blocks > 1")
+
+    def cells(side: DataFrame, own: str, other: str, salt: int) -> DataFrame:
+        x = met(side, sizes, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        return x.withColumn(own, F.pmod(F.xxhash64("key", F.lit(salt)), F.col("blocks"))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks").cast("bigint") - 1))).drop("blocks")
+
+    return met(cells(left, "bi", "bj", 1).withColumnRenamed("key", "key_a"), cells(right, "bj", "bi", 2).withColumnRenamed("key", "key_b"), ["grp", "bi", "bj"]).drop("bi", "bj")
 
 
-def group_pairs(grouped: DataFrame, left: Column | None = None) -> DataFrame:
+def group_pairs(grouped: DataFrame) -> DataFrame:
     """(ref_a, ref_b) of every two keys of one group, the smaller first by code point."""
-    pairs = grouped.alias("x").join(grouped.alias("y"), F.col("x.grp") == F.col("y.grp")).filter("x.key < y.key")
-    return pairs.select(F.col("x.key").alias("ref_a"), F.col("y.key").alias("ref_b")).distinct()
+    many = cut(grouped.select("grp", "key").distinct())
+    return blocked(many, many).filter("key_a < key_b").select(F.col("key_a").alias("ref_a"), F.col("key_b").alias("ref_b")).distinct()
