@@ -12,7 +12,7 @@ from .leaks import leaks
 from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .pairs import group_pairs
-from .split_overlap import across_splits, overlaps
+from .split_overlap import across_splits, held_out_keys, overlaps
 from .subject import subject_areas
 from .terms import term_frequencies
 from .unify import unify_text
@@ -89,17 +89,18 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("p7_found")
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped, _, _ = overlaps(table(spark, sf_dir, "proyectos"), "referencia", "resumen")
-    x = across_splits(grouped, table(spark, sf_dir, "splits"), "referencia")
+    splits = table(spark, sf_dir, "splits")
+    grouped, _, _ = overlaps(table(spark, sf_dir, "proyectos"), "referencia", "resumen", held_out_keys(splits, "referencia"))
+    x = across_splits(grouped, splits, "referencia")
     return x.select(F.least("train_key", "eval_key").alias("ref_a"), F.greatest("train_key", "eval_key").alias("ref_b")).distinct()
 
 
 @add("p7_report")
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out projects that also stand in train, by split and call: projects, pairs, and the mean part of the abstract that a direct link covers."""
-    p = table(spark, sf_dir, "proyectos")
-    grouped, members, links = overlaps(p, "referencia", "resumen")
-    x = across_splits(grouped, table(spark, sf_dir, "splits"), "referencia")
+    p, splits = table(spark, sf_dir, "proyectos"), table(spark, sf_dir, "splits")
+    grouped, members, links = overlaps(p, "referencia", "resumen", held_out_keys(splits, "referencia"))
+    x = across_splits(grouped, splits, "referencia")
     cover = links.select(F.col("a").alias("cls"), F.col("cover_a").alias("c")).unionByName(links.select(F.col("b").alias("cls"), F.col("cover_b").alias("c"))).groupBy("cls").agg(F.max("c").alias("c"))
     held = members.join(cover, "cls", "left").select("key", F.coalesce("c", F.lit(1.0)).alias("c"))
     call = p.select(F.col("referencia").alias("eval_key"), "cconv")
