@@ -27,12 +27,12 @@ SELECT term, n_total, n_records, CASE WHEN n_records < 3 THEN 'rare' WHEN n_reco
 
 @add("p5_found", f"SELECT * FROM ({_TERMS}) WHERE mark IS NOT NULL")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return term_frequencies(table(spark, sf_dir, "proyectos"), "referencia", ["titulo", "resumen"]).filter("mark IS NOT NULL")
+    return term_frequencies(table(spark, sf_dir, "proyectos"), ["titulo", "resumen"]).filter("mark IS NOT NULL")
 
 
 @add("p5_terms", _TERMS)
 def p5_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return term_frequencies(table(spark, sf_dir, "proyectos"), "referencia", ["titulo", "resumen"])
+    return term_frequencies(table(spark, sf_dir, "proyectos"), ["titulo", "resumen"])
 
 
 @add("p9_mixture")
@@ -115,7 +115,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("p8_coverage")
 def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pair with a fifth of the item tiled in any order, passages set in another order included."""
+    """Every pair of the operator with a fifth of the item tiled in any order, passages set in another order included."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).filter("coverage >= 0.2")
 
 

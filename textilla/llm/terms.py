@@ -1,4 +1,4 @@
-"""Frequency of every distinct term: occurrences, records, and a mark for the too rare and too common."""
+"""Frequency of every distinct value or term: occurrences, records, and a mark for the too rare and too common."""
 
 from __future__ import annotations
 
@@ -6,59 +6,66 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut
+from .columns import recoded, split
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Run-length scan of sorted (term, rec): one row per run of a term, with its length and its distinct records.
+_RUN = "term string, n_total bigint, n_records bigint"
 
-    A run that reaches the end of a batch is carried on, so that memory holds one batch.
+
+def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of the external sort: the (term, record) pairs of a part of a batch are sorted and scanned, one row per run of a term.
+
+    A record lies in one part, so that the runs of a term add up. The row without a term holds the number of records.
     """
-    names, last, n_total, n_records = ["term", "n_total", "n_records"], None, 0, 0
+    names = ["term", "n_total", "n_records"]
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 5000):
+            b = whole.slice(lo, 5000)
+            values, codes, record = split(b.column(0), r"[^\p{L}\p{N}]+")
+            terms, codes = recoded([v.lower() for v in values.to_pylist()], codes)
+            pairs = np.sort(codes * b.num_rows + record)
+            term = pairs // b.num_rows
+            new = np.flatnonzero(np.diff(term, prepend=-1))
+            fresh = np.r_[0, np.cumsum(np.diff(pairs, prepend=-1) != 0)]
+            ends = np.r_[new, len(pairs)]
+            yield pa.RecordBatch.from_arrays([pa.array([None, *terms[term[new]]], pa.string()), pa.array(np.r_[b.num_rows, np.diff(ends)]), pa.array(np.r_[0, np.diff(fresh[ends])])], names)
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Run-length scan of the sorted runs of a range: one row per term. A term that reaches the end of a batch is carried on."""
+    names, last = ["term", "n_total", "n_records"], None
     for b in batches:
-        n = b.num_rows
-        if not n:
+        if not b.num_rows:
             continue
-        term, rec = b.column(0), b.column(1)
-        new_t, new_r = np.ones(n, bool), np.ones(n, bool)
-        if n > 1:
-            new_t[1:] = np.asarray(pc.not_equal(term.slice(1), term.slice(0, n - 1)))
-            new_r[1:] = new_t[1:] | np.asarray(pc.not_equal(rec.slice(1), rec.slice(0, n - 1)))
-        carried = (term[0].as_py(), rec[0].as_py())
+        term = np.array(b.column(0).to_pylist(), dtype=object)
+        start = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+        names_, total, records = term[start].tolist(), np.add.reduceat(np.asarray(b.column(1)), start), np.add.reduceat(np.asarray(b.column(2)), start)
         if last is not None:
-            new_t[0] = carried[0] != last[0]
-            new_r[0] = new_t[0] or carried[1] != last[1]
-        starts = np.flatnonzero(new_t)
-        recs = np.r_[0, np.cumsum(new_r)]
-        bounds = np.r_[starts, n]
-        if last is not None:  # what precedes the first new term belongs to the carried one
-            n_total, n_records = n_total + int(bounds[0]), n_records + int(recs[bounds[0]])
-        if len(starts):
-            if last is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([last[0]]), pa.array([n_total]), pa.array([n_records])], names)
-            lengths, records = np.diff(bounds), np.diff(recs[bounds])
-            yield pa.RecordBatch.from_arrays([term.take(pa.array(starts[:-1])).cast(pa.string()), pa.array(lengths[:-1]), pa.array(records[:-1])], names)
-            n_total, n_records = int(lengths[-1]), int(records[-1])
-        last = (term[n - 1].as_py(), rec[n - 1].as_py())
+            if last[0] == names_[0]:
+                total[0], records[0] = total[0] + last[1], records[0] + last[2]
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in last], names)
+        last = (names_[-1], int(total[-1]), int(records[-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(names_[:-1], pa.string()), pa.array(total[:-1]), pa.array(records[:-1])], names)
     if last is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([last[0]]), pa.array([n_total]), pa.array([n_records])], names)
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in last], names)
 
 
-def term_frequencies(df: DataFrame, key: str, fields: list[str], rare_below: int = 3, common_share: float = 0.2) -> DataFrame:
+def term_frequencies(df: DataFrame, fields: list[str], rare_below: int = 3, common_share: float = 0.2) -> DataFrame:
     """(term, n_total, n_records, mark) over all rows; mark is ``rare``, ``common`` or null.
 
-    Terms are maximal runs of letters or digits, lower-cased. (term, record) pairs are sorted externally over
-    ranges of both together: a term that a third of all records hold spreads over many ranges, and equal pairs
-    never part, so that the runs of a term add up exactly. A null field counts as empty; rows of one key are one
-    record, a row without key is a record of its own; other columns are not read; an empty table gives no rows.
+    Terms are maximal runs of letters or digits, lower-cased; every row is a record. An external sort of (term,
+    record) pairs: each part of the table is split, sorted and run-length scanned once where it lies; its runs, with
+    their occurrences and distinct records, are partitioned by ranges of terms, sorted and scanned again. A term
+    that a third of all records hold is one row of each part, not of each record. Null fields count as empty;
+    other columns, keys included, are not read, so that repeated rows count each; an empty table gives no rows.
     ``common`` needs more than ``common_share`` of all rows.
     """
     text = F.concat_ws(" ", *(F.coalesce(df[f].cast("string"), F.lit("")) for f in fields))
-    rec = F.coalesce(df[key].cast("string"), F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string")))
-    pairs = df.select(rec.alias("rec"), text.alias("text"))
-    pairs = pairs.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("term"), "rec").select(F.lower("term").alias("term"), "rec")
-    runs = pairs.repartitionByRange("term", "rec").sortWithinPartitions("term", "rec").mapInArrow(_scan, "term string, n_total bigint, n_records bigint")
-    rows = df.count()
+    runs = cut(df.select(text.alias("text")).mapInArrow(_sorted_runs, _RUN))
+    rows = runs.filter("term IS NULL").agg(F.coalesce(F.sum("n_total"), F.lit(0))).first()[0]
     mark = F.when(F.col("n_records") < rare_below, "rare").when(F.col("n_records") > common_share * rows, "common")
-    return runs.groupBy("term").agg(F.sum("n_total").alias("n_total"), F.sum("n_records").alias("n_records")).withColumn("mark", mark)
+    merged = runs.filter("term IS NOT NULL").repartitionByRange("term").sortWithinPartitions("term").mapInArrow(_merge, _RUN)
+    return merged.withColumn("mark", mark)
