@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from .textnorm import latin_looks, plain_characters, rolling, word_hashes, words
+from .textnorm import latin_looks, plain_characters, rolling, take, word_hashes, words
 
-#: Items whose seeds number no more than this go to every task; more are joined by a shuffle.
-MAX_SENT = 400_000
+#: Words of a block of items, which goes to every task; places of an item where shared seeds begin, at least.
+MAX_SENT, SHARED = 400_000, 4
 SEED, TILE = 5, 3
 _broken = re.compile(r"(?<=[^\W\d_])[-­‐‑][ \t]*\r?\n[ \t]*(?=[^\W\d_])")
 _end = re.compile("[\r\n]")
@@ -31,61 +31,45 @@ def read(text: str | None) -> list[str]:
     return words(latin_looks(plain))
 
 
-def tiles(a: list[int], b: list[int], least: int = TILE) -> list[tuple[int, int, int]]:
-    """(start in a, start in b, length) of the tiles of two word lists: greedy string tiling, longest first.
+def tiles(a: np.ndarray, b: np.ndarray, least: int = TILE) -> list[tuple[int, int, int]]:
+    """(start in a, start in b, length) of the tiles of two lists of word hashes: greedy string tiling, longest first.
 
-    Running Karp-Rabin: hashes of s unmarked words of b are looked up for those of a; matches are extended and
-    marked in falling length as far as they are still free; s falls to ``least``.
+    Running Karp-Rabin: the hashes of ``least`` words rolled over both texts meet; equal ones in a row on a diagonal
+    are a longest match. The longest match whose words are all free is marked, again and again; what a marked tile
+    leaves of a match goes back among the others. Of equal lengths the first in a, then in b, is marked.
     """
-    free_a, free_b = [True] * len(a), [True] * len(b)
+    ha, hb = rolling(a, least), rolling(b, least)
+    at = np.argsort(hb, kind="stable")
+    low, high = np.searchsorted(hb[at], ha), np.searchsorted(hb[at], ha, "right")
+    i, j = np.repeat(np.arange(len(ha)), high - low), at[take(low, high - low)]
+    order = np.lexsort((i, j - i))
+    i, j = i[order], j[order]
+    edge = np.flatnonzero(np.r_[True, (np.diff(i) != 1) | (np.diff(j) != 1), True]) if len(i) else np.zeros(1, np.int64)
+    heap = [(-n - least + 1, x, y) for n, x, y in zip(np.diff(edge).tolist(), i[edge[:-1]].tolist(), j[edge[:-1]].tolist())]
+    heapq.heapify(heap)
+    marked_a, marked_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
     out: list[tuple[int, int, int]] = []
-    known, s = set(a) & set(b), 20
-
-    def runs(x: list[int], free: list[bool], s: int) -> Iterator[int]:
-        size = 0
-        for i, w in enumerate(x):
-            size = size + 1 if free[i] and w in known else 0
-            if size >= s:
-                yield i - s + 1
-
-    while True:
-        table = defaultdict(list)
-        for j in runs(b, free_b, s):
-            table[hash(tuple(b[j : j + s]))].append(j)
-        found: list[tuple[int, int, int]] = []
-        longest = 0
-        if table:
-            for i in runs(a, free_a, s):
-                for j in table.get(hash(tuple(a[i : i + s])), ()):
-                    if i and j and free_a[i - 1] and free_b[j - 1] and a[i - 1] == b[j - 1]:
-                        continue  # part of a match that began before
-                    n = 0
-                    while i + n < len(a) and j + n < len(b) and free_a[i + n] and free_b[j + n] and a[i + n] == b[j + n]:
-                        n += 1
-                    if n >= s:
-                        found.append((n, i, j))
-                        longest = max(longest, n)
-        if longest > 2 * s:
-            s = longest
+    while heap:
+        n, x, y = heapq.heappop(heap)
+        taken = marked_a[x : x - n] | marked_b[y : y - n]
+        if not taken.any():
+            marked_a[x : x - n] = marked_b[y : y - n] = True
+            out.append((x, y, -n))
             continue
-        for n, i, j in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            # what a longer tile took is cut off
-            while n and not (free_a[i] and free_b[j]):
-                i, j, n = i + 1, j + 1, n - 1
-            size = 0
-            while size < n and free_a[i + size] and free_b[j + size]:
-                size += 1
-            if size >= s:
-                free_a[i : i + size] = free_b[j : j + size] = [False] * size
-                out.append((i, j, size))
-            elif size >= least:
-                found.append((size, i, j))
-        if s > 2 * least:
-            s //= 2
-        elif s > least:
-            s = least
-        else:
-            return out
+        edges = np.flatnonzero(np.diff(np.r_[True, taken, True]))
+        for s, e in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            if e - s >= least:
+                heapq.heappush(heap, (s - e, x + s, y + s))
+    return out
+
+
+def longest_part(same: np.ndarray, span: int, unchanged: float) -> int:
+    """Length of the longest part of at least ``span`` places of which ``unchanged`` are set, or 0; in linear memory."""
+    run = np.r_[0, np.cumsum(same)] - unchanged * np.arange(len(same) + 1)
+    reach = np.maximum.accumulate(run[::-1])[::-1]  # the highest from here on: the last place that is no lower
+    last = np.searchsorted(-reach, -(run - 1e-9), "right") - 1
+    longest = int((last - np.arange(len(run))).max())
+    return longest if longest >= span else 0
 
 
 def _common(a: list[int], b: list[int]) -> list[int]:
@@ -144,96 +128,86 @@ def held_stretch(item: list[int], doc: list[int], found: list[tuple[int, int, in
         i, j, n = path[-1]
         for u in _common(item[i + n : i + n + 6], doc[j + n : j + n + 6]):
             same[i + n + u] = 1
-        total = np.r_[0, np.cumsum(same)]
-        lo, hi = np.triu_indices(len(item) + 1, span)
-        fit = total[hi] - total[lo] >= unchanged * (hi - lo) - 1e-9
-        if fit.any():
-            longest = max(longest, int((hi - lo)[fit].max()))
+        longest = max(longest, longest_part(same, span, unchanged))
     return longest
 
 
-def _match(rows: Iterator[tuple[int, list[int], int, list[int]]], columns: list[str]) -> pd.DataFrame:
-    out = []
-    for doc_id, doc, item_id, item in rows:
-        got = tiles(item, doc)
-        covered = sum(n for _, _, n in got)
-        if covered * 2 < 24:
-            continue
-        stretch = held_stretch(item, doc, got)
-        out.append((item_id, doc_id, stretch, covered / max(1, len(item)), len(got)))
-    return pd.DataFrame(out, columns=columns)
+def _blocks(items: DataFrame, most: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """(ids, word hashes) of the items, in blocks of about ``most`` words."""
+    rows: list = []
+    size = 0
+    for r in items.toLocalIterator():
+        w = read(r["text"])
+        if len(w) >= SEED:
+            rows.append((r["item_id"], w))
+            size += len(w)
+        if size >= most:
+            yield _hashed(rows)
+            rows, size = [], 0
+    if rows:
+        yield _hashed(rows)
+
+
+def _hashed(rows: list) -> tuple[list, list[np.ndarray]]:
+    hashes, offs = word_hashes([w for _, w in rows])
+    return [r[0] for r in rows], [hashes[offs[x] : offs[x + 1]] for x in range(len(rows))]
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "item_text", max_sent: int = MAX_SENT) -> DataFrame:
-    """(item_id, doc_id, stretch, coverage, n_tiles) of the pairs of item and document that share a seed of 5 words and 12 tiled words.
+def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "item_text", most: int = MAX_SENT) -> DataFrame:
+    """(item_id, doc_id, stretch, coverage, n_tiles) of the pairs of item and document that share ``SHARED`` places of the item where a seed of 5 words begins, and 12 tiled words.
 
-    stretch is the number of words of the longest stretch of at least 24 item words that stands in the document
-    with nine in ten unchanged and in order, else 0; coverage is the part of the item that tiles cover in any
-    order, which shows reordered passages. 24 words with two changed ones have 8 unchanged in a row, so that no
-    stretch lacks a seed. Null and empty texts have no pairs; a repeated key gives a row per text; other columns
-    are not read; empty tables give no rows.
+    coverage is the part of the item that tiles cover in any order, which shows reordered passages. stretch is the
+    number of words of the longest stretch of at least 24 item words of which tiles that follow each other, and
+    what is unchanged between them, cover nine in ten, else 0. 24 words with two changed ones have 8 unchanged in a
+    row, where four seeds begin, so that no such stretch is missed. Null and empty texts have no pairs; a repeated
+    key gives a row per text; other columns are not read; empty tables give no rows.
 
-    The items are a stated set: if their seeds number ``max_sent`` at most they are sent to every task and the
-    documents are read in one pass without a shuffle; otherwise seeds are joined by a shuffle.
+    The items are a stated set: they go to every task in blocks of ``most`` words, and each block is held against
+    all documents in one pass without a shuffle, however many items there are.
     """
     d = docs.select(docs[doc_key].alias("doc_id"), docs[text].cast("string").alias("text")).filter("text IS NOT NULL")
     i = items.select(items[item_key].alias("item_id"), items[item_text].cast("string").alias("text")).filter("text IS NOT NULL")
     dt, it = d.schema["doc_id"].dataType.simpleString(), i.schema["item_id"].dataType.simpleString()
-    columns = ["item_id", "doc_id", "stretch", "coverage", "n_tiles"]
     schema = f"item_id {it}, doc_id {dt}, stretch int, coverage double, n_tiles int"
-    # a word has a blank or a line end before it: a bound on the seeds that is taken where the items lie
-    bound = i.agg(F.coalesce(F.sum(F.size(F.split("text", r"\P{L}+"))), F.lit(0))).first()[0]
-    if bound <= max_sent:
-        rows = [(r["item_id"], r["text"]) for r in i.collect()]
-        hashes, offs = word_hashes([read(t) for _, t in rows])
-        own = [hashes[offs[x] : offs[x + 1]] for x in range(len(rows))]
-        seeds: dict[int, set[int]] = defaultdict(set)
-        for x, h in enumerate(own):
-            for s in rolling(h, SEED).tolist():
-                seeds[s].add(x)
-        ordered = np.array(sorted(seeds), np.int64)
-        holders = [sorted(seeds[s]) for s in ordered.tolist()]
-        lists = [h.view(np.int64).tolist() for h in own]
-        ids = [r[0] for r in rows]
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                keys = b["doc_id"].tolist()
-                hs, at = word_hashes([read(t) for t in b["text"]])
+    columns = ["item_id", "doc_id", "stretch", "coverage", "n_tiles"]
 
-                def pairs() -> Iterator[tuple[int, list[int], int, list[int]]]:
-                    for x, key in enumerate(keys):
-                        w = hs[at[x] : at[x + 1]]
-                        r = rolling(w, SEED)
-                        if not len(r) or not len(ordered):
-                            continue
-                        slot = np.minimum(np.searchsorted(ordered, r), len(ordered) - 1)
-                        hit = slot[ordered[slot] == r]
-                        if len(hit):
-                            doc = w.view(np.int64).tolist()
-                            for item in sorted({y for s in np.unique(hit).tolist() for y in holders[s]}):
-                                yield key, doc, ids[item], lists[item]
-
-                yield _match(pairs(), columns)
-
-        return d.mapInPandas(scan, schema)
-
-    def hashed(kind: str, name: str):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
+    def scan(batches: Iterator[pd.DataFrame], sent) -> Iterator[pd.DataFrame]:
+        ids, own = sent.value
+        rolled = [rolling(w, SEED) for w in own]
+        seeds, owner = np.concatenate(rolled), np.repeat(np.arange(len(own)), [len(r) for r in rolled])
+        place = np.concatenate([np.arange(len(r)) for r in rolled])
+        order = np.argsort(seeds, kind="stable")
+        seeds, owner, place = seeds[order], owner[order], place[order]
+        slot = lambda h: (h.view(np.uint64) >> np.uint64(44)).astype(np.int64)
+        some = np.zeros(1 << 20, bool)
+        some[slot(seeds)] = True
+        widest = max(len(w) for w in own)
+        for whole in batches:
+            for lo in range(0, len(whole), 1000):
+                b = whole.iloc[lo : lo + 1000]
                 hs, at = word_hashes([read(t) for t in b["text"]])
-                w = [hs[at[x] : at[x + 1]] for x in range(len(b))]
-                yield pd.DataFrame({name: b[name], "rid": b["rid"], "w": [x.view(np.int64) for x in w], "seeds": [np.unique(rolling(x, SEED)) for x in w]})
-
-        return run
-
-    dh = d.withColumn("rid", F.xxhash64("doc_id", "text")).mapInPandas(hashed(dt, "doc_id"), f"doc_id {dt}, rid bigint, w array<bigint>, seeds array<bigint>")
-    ih = i.withColumn("rid", F.xxhash64("item_id", "text")).mapInPandas(hashed(it, "item_id"), f"item_id {it}, rid bigint, w array<bigint>, seeds array<bigint>")
-    met = dh.select(F.col("rid").alias("r"), F.explode("seeds").alias("s")).join(ih.select(F.col("rid").alias("q"), F.explode("seeds").alias("s")), "s").select("r", "q").distinct()
-    full = met.join(dh.select("doc_id", F.col("rid").alias("r"), F.col("w").alias("dw")).hint("merge"), "r").join(ih.select("item_id", F.col("rid").alias("q"), F.col("w").alias("iw")).hint("merge"), "q")
-
-    def tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield _match(((x, list(map(int, dw)), y, list(map(int, iw))) for x, dw, y, iw in zip(b["doc_id"], b["dw"], b["item_id"], b["iw"])), columns)
-
-    return full.select("doc_id", "dw", "item_id", "iw").mapInPandas(tile, schema)
+                keys, rows = b["doc_id"].tolist(), []
+                h = rolling(hs, SEED)
+                hit = np.flatnonzero(some[slot(h)])
+                low = np.searchsorted(seeds, h[hit])
+                hit = hit[seeds[np.minimum(low, len(seeds) - 1)] == h[hit]]
+                doc = np.searchsorted(at, hit, "right") - 1
+                hit, doc = hit[hit + SEED <= at[doc + 1]], doc[hit + SEED <= at[doc + 1]]
+                low, high = np.searchsorted(seeds, h[hit]), np.searchsorted(seeds, h[hit], "right")
+                pick = take(low, high - low)
+                pair = np.repeat(doc, high - low) * len(own) + owner[pick]
+                pair, n = np.unique(np.unique(pair * widest + place[pick]) // widest, return_counts=True)
+                for x, y in zip(*divmod(pair[n >= SHARED], len(own))):
+                    item, w = own[y], hs[at[x] : at[x + 1]]
+                    got = tiles(item, w)
+                    covered = sum(t[2] for t in got)
+                    if covered * 2 >= 24:
+                        rows.append((ids[y], keys[x], held_stretch(item.tolist(), w.tolist(), got), covered / len(item), len(got)))
+                yield pd.DataFrame(rows, columns=columns)
+
+    sc, out = docs.sparkSession.sparkContext, None
+    for block in _blocks(i, most):
+        sent = sc.broadcast(block)
+        got = d.mapInPandas(lambda batches, sent=sent: scan(batches, sent), schema)
+        out = got if out is None else out.unionByName(got)
+    return out if out is not None else docs.sparkSession.createDataFrame([], schema)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
-from .textnorm import rolling, word_hashes, words
+from .textnorm import rolling, take, word_hashes, words
 
 #: Bits of the sketch in 64-bit columns: for two texts of n and m shingles, of which h bits of their sketches
 #: differ, no more than (n + m - h) / 2 shingles can be shared.
@@ -82,12 +82,6 @@ def _slots(df: DataFrame, parts: int) -> np.ndarray:
     return out
 
 
-def _take(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Indices of several ranges in a row."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
-
-
 _PACK = "slot int, cls binary, n binary, size binary, h binary, pos binary, df binary"
 
 
@@ -96,7 +90,7 @@ def _packed(slots: np.ndarray, at: np.ndarray, cls: np.ndarray, n: np.ndarray, s
     order = np.argsort(at, kind="stable")
     starts = (np.cumsum(size) - size)[order]
     at, cls, n, size = at[order], cls[order], n[order], size[order]
-    pick = _take(starts, size)
+    pick = take(starts, size)
     elements = [x[pick] if len(x) else x for x in elements]  # h, pos, df, of which some are not there
     edge = np.r_[np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), len(at)] if len(at) else np.zeros(1, np.int64)
     ends = np.r_[0, np.cumsum(size)]

@@ -24,8 +24,6 @@ LIGATURE = "\\ufb00-\\ufb06\\u0132\\u0133\\u01c7-\\u01cc\\u01f1-\\u01f3"
 WIDTH = "\\uff01-\\uff5e\\uff5f-\\uffee\\u3000"
 ACCENT = "\\u0300-\\u036f\\u1ab0-\\u1aff\\u1dc0-\\u1dff\\u20d0-\\u20ff\\ufe20-\\ufe2f"
 OTHER = "\\u0370-\\u03ff\\u1f00-\\u1fff\\u0400-\\u052f"
-#: A Java regular expression, for the scan: texts without a match need no repair.
-SUSPECT = f"[{INVISIBLE}{BLANK}{HYPHEN}{LIGATURE}{WIDTH}{ACCENT}{OTHER}]"
 
 _wide = re.compile(f"[{LIGATURE}{WIDTH}]+")
 _invisible, _blank, _hyphen = re.compile(f"[{INVISIBLE}]"), re.compile(f"[{BLANK}]"), re.compile(f"[{HYPHEN}]")
@@ -95,14 +93,15 @@ _word = re.compile(r"[^\W_]+")
 _marks = re.compile("[\u0300-\u036f]+")
 
 
+def folded(text: str) -> str:
+    """Without case and accents."""
+    text = text.lower()
+    return text if text.isascii() else _marks.sub("", unicodedata.normalize("NFKD", text))
+
+
 def words(text: str | None) -> list[str]:
     """Runs of letters or digits, without case and accents; ``_x000D_`` leftovers are none."""
-    if not text:
-        return []
-    text = text.replace("_x000D_", " ").lower()
-    if not text.isascii():
-        text = _marks.sub("", unicodedata.normalize("NFKD", text))
-    return _word.findall(text)
+    return _word.findall(folded(text.replace("_x000D_", " "))) if text else []
 
 
 def word_hashes(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -130,3 +129,9 @@ def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
         out *= np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     return out.view(np.int64)
+
+
+def take(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of several ranges in a row."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
