@@ -1,11 +1,13 @@
 """Language of documents and of stretches in another language: a bidirectional gated recurrent network over bytes.
 
-The network is trained in numpy by backpropagation through time on a bounded sample of labelled texts. It labels
-every byte; the bytes of a sentence, and the sentences of a text, are pooled.
+The network is trained in numpy by backpropagation through time on a bounded sample of labelled texts. It reads two
+bytes in a step and labels both; the bytes of a sentence, and the sentences of a text, are pooled.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,6 +41,10 @@ def label_of(label: str | None) -> str | None:
     return _FORM.get(re.split(r"[-_ (]", label.strip().lower())[0]) if label else None
 
 
+def _has_words(text: str, n: int) -> bool:
+    return next(itertools.islice(_word.finditer(text), n - 1, None), None) is not None
+
+
 def pieces(text: str, joined: bool = False) -> list[str]:
     """Sentences, or with ``joined`` the titles that one field joins by a stroke, bar, dash, semicolon or stop.
 
@@ -49,7 +55,7 @@ def pieces(text: str, joined: bool = False) -> list[str]:
     out: list[str] = []
     for p in _sentence.split(text):
         if p and not p.isspace():
-            if out and len(_word.findall(p)) < 4:
+            if out and not _has_words(p, 4):
                 out[-1] += " " + p
             else:
                 out.append(p)
@@ -74,20 +80,20 @@ class Net:
         g = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         w = {"E": g(256, embed) * 4, "V": g(2 * hidden, len(LANGS)), "c": np.zeros(len(LANGS), np.float32)}
         for d in "fb":
-            w |= {f"X{d}": g(embed, 3 * hidden), f"B{d}": np.zeros(3 * hidden, np.float32), f"H{d}": g(hidden, 3 * hidden)}
+            w |= {f"X{d}": g(embed, 3 * hidden), f"Y{d}": g(embed, 3 * hidden), f"B{d}": np.zeros(3 * hidden, np.float32), f"H{d}": g(hidden, 3 * hidden)}
         return cls(w)
 
     def run(self, ids: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """Log-probabilities (B, T, languages); with ``keep`` what the backward pass needs."""
-        w, (size, span) = self.w, ids.shape
+        """Log-probabilities (B, T, languages) of ids (B, T, 2); with ``keep`` what the backward pass needs."""
+        w, (size, span) = self.w, ids.shape[:2]
         hidden = w["Hf"].shape[0]
         outs, saved = [], []
         for d in "fb":
-            table = w["E"] @ w[f"X{d}"] + w[f"B{d}"]
+            first, second = w["E"] @ w[f"X{d}"] + w[f"B{d}"], w["E"] @ w[f"Y{d}"]
             rec, h = w[f"H{d}"], np.zeros((size, hidden), np.float32)
             states, steps = np.empty((span, size, hidden), np.float32), []
             for t in range(span) if d == "f" else range(span - 1, -1, -1):
-                x, u = table[ids[:, t]], h @ rec
+                x, u = first[ids[:, t, 0]] + second[ids[:, t, 1]], h @ rec
                 rz = 0.5 * np.tanh(0.5 * (x[:, : 2 * hidden] + u[:, : 2 * hidden])) + 0.5
                 r, z = rz[:, :hidden], rz[:, hidden:]
                 n = np.tanh(x[:, 2 * hidden :] + r * u[:, 2 * hidden :])
@@ -105,8 +111,8 @@ class Net:
         return logp.transpose(1, 0, 2), [both, saved]
 
     def gradients(self, ids: np.ndarray, mask: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy over all bytes, and its gradients by backpropagation through time."""
-        w, (size, span) = self.w, ids.shape
+        """Mean cross-entropy over all steps, and its gradients by backpropagation through time."""
+        w, (size, span) = self.w, ids.shape[:2]
         logp, (both, saved) = self.run(ids, mask, True)
         hidden, total = w["Hf"].shape[0], max(1, mask.sum())
         loss = -(logp[np.arange(size), :, labels] * mask).sum() / total
@@ -116,7 +122,7 @@ class Net:
         g = {"V": np.tensordot(both, d, ([0, 1], [0, 1])), "c": d.sum((0, 1)), "E": np.zeros_like(w["E"])}
         back = d @ w["V"].T
         for k, side in enumerate("fb"):
-            gh, gx = np.zeros_like(w[f"H{side}"]), np.zeros((256, 3 * hidden), np.float32)
+            gh = np.zeros_like(w[f"H{side}"])
             carry = np.zeros((size, hidden), np.float32)
             rec = w[f"H{side}"]
             grads = np.empty((span, size, 3 * hidden), np.float32)
@@ -130,32 +136,89 @@ class Net:
                 gh += h.T @ du
                 carry = np.where(live, dh * z, dh) + du @ rec.T
                 grads[t] = np.concatenate([dr, dz, dn], 1)
-            flat, code = grads.reshape(-1, 3 * hidden), ids.T.reshape(-1)
-            hot = np.zeros((256, len(code)), np.float32)
-            hot[code, np.arange(len(code))] = 1
-            gx = hot @ flat
-            g |= {f"H{side}": gh, f"X{side}": w["E"].T @ gx, f"B{side}": flat.sum(0)}
-            g["E"] += gx @ w[f"X{side}"].T
+            flat = grads.reshape(-1, 3 * hidden)
+            g |= {f"H{side}": gh, f"B{side}": flat.sum(0)}
+            for slot, name in enumerate((f"X{side}", f"Y{side}")):
+                code = ids[:, :, slot].T.reshape(-1)
+                hot = np.zeros((256, len(code)), np.float32)
+                hot[code, np.arange(len(code))] = 1
+                gx = hot @ flat
+                g[name] = w["E"].T @ gx
+                g["E"] += gx @ w[name].T
         return float(loss), g
 
     def pool(self, seqs: list[np.ndarray], batch: int = 512) -> np.ndarray:
-        """(len, languages): summed log-probabilities of all bytes of each sequence."""
+        """(len, languages): summed log-probabilities of all steps of each sequence, as ``run`` gives them.
+
+        Sequences of a batch stand by falling length, so that at each step those that still run are the first
+        ones; the gates' tables hold only the pairs of bytes that the batch has, and halves are multiplied in.
+        """
+        w, hidden = self.w, self.w["Hf"].shape[0]
         out = np.zeros((len(seqs), len(LANGS)), np.float32)
-        order = sorted(range(len(seqs)), key=lambda i: len(seqs[i]))
+        half = np.r_[np.full(2 * hidden, 0.5, np.float32), np.ones(hidden, np.float32)]
+        cells = []
+        for d in "fb":
+            rec = w[f"H{d}"] * np.float32(0.5)
+            cells.append(((w["E"] @ w[f"X{d}"] + w[f"B{d}"]) * half, (w["E"] @ w[f"Y{d}"]) * half, *(np.ascontiguousarray(rec[:, i * hidden : (i + 1) * hidden]) for i in range(3))))
+        order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
             ids, mask = pad([seqs[i] for i in own])
-            logp, _ = self.run(ids, mask)
-            out[own] = (logp * mask[:, :, None]).sum(1)
+            live = mask.sum(0)
+            start = np.r_[0, np.cumsum(live)]
+            codes = (ids[:, :, 0].astype(np.int64) << 8 | ids[:, :, 1]).T
+            used = np.zeros(1 << 16, bool)
+            used[codes] = True
+            pairs = np.flatnonzero(used)
+            codes = (np.cumsum(used) - 1)[codes]
+            states = np.empty((start[-1], 2 * hidden), np.float32)
+            gate = [np.empty((len(own), hidden), np.float32) for _ in range(4)]
+            for side, (first, second, *rec) in enumerate(cells):
+                every = first[pairs >> 8] + second[pairs & 255]
+                tables = [np.ascontiguousarray(every[:, i * hidden : (i + 1) * hidden]) for i in range(3)]
+                state = np.zeros((len(own), hidden), np.float32)
+                for t in range(len(live)) if side == 0 else range(len(live) - 1, -1, -1):
+                    k, h = live[t], state[: live[t]]
+                    r, z, n, u = (g[:k] for g in gate)
+                    for g, table in zip((r, z, n), tables):
+                        np.take(table, codes[t, :k], 0, out=g, mode="clip")
+                    for g, m in zip((r, z), rec):
+                        np.matmul(h, m, out=u)
+                        g += u
+                        np.tanh(g, out=g)
+                        g += 1
+                    np.matmul(h, rec[2], out=u)
+                    u *= r
+                    n += u
+                    np.tanh(n, out=n)
+                    h -= n
+                    h *= z
+                    h *= np.float32(0.5)
+                    h += n
+                    states[start[t] : start[t + 1], side * hidden : (side + 1) * hidden] = h
+            logits = states @ w["V"] + w["c"]
+            logits -= logits.max(1, keepdims=True)
+            logits -= np.log(np.exp(logits).sum(1, keepdims=True))
+            acc = np.zeros((len(own), len(LANGS)), np.float32)
+            for t in range(len(live)):
+                acc[: live[t]] += logits[start[t] : start[t + 1]]
+            out[own] = acc
         return out
 
 
 def pad(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    span = max(1, max((len(s) for s in seqs), default=1))
-    ids, mask = np.zeros((len(seqs), span), np.uint8), np.zeros((len(seqs), span), bool)
+    """(ids (B, T, 2), mask (B, T)): two bytes in a step; a last byte alone has 0 beside it."""
+    span = max(1, max(((len(s) + 1) // 2 for s in seqs), default=1))
+    ids, mask = np.zeros((len(seqs), span * 2), np.uint8), np.zeros((len(seqs), span), bool)
     for i, s in enumerate(seqs):
-        ids[i, : len(s)], mask[i, : len(s)] = s, True
-    return ids, mask
+        ids[i, : len(s)], mask[i, : (len(s) + 1) // 2] = s, True
+    return ids.reshape(len(seqs), span, 2), mask
+
+
+@functools.lru_cache(4)
+def trained(texts: tuple[str, ...], labels: tuple[int, ...]) -> Net:
+    """``train``, once in a session for each sample."""
+    return train(list(texts), list(labels))
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7, steps: int = STEPS) -> Net:
@@ -195,7 +258,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7, steps: int = STEPS
     return net
 
 
-def sample(df: DataFrame, text: str, label: str, witness: str | None = None, size: int = SAMPLE) -> tuple[list[str], list[int]]:
+def sample(df: DataFrame, text: str, label: str, witness: str | None = None, size: int = SAMPLE) -> tuple[tuple[str, ...], tuple[int, ...]]:
     """About ``size`` labelled texts, twice as many at most, drawn by a hash of the text; labels with the root of their number.
 
     The root lets rare languages in. A ``witness`` is a second label, of a text that belongs to the same record:
@@ -207,23 +270,23 @@ def sample(df: DataFrame, text: str, label: str, witness: str | None = None, siz
     base = base.select(df[text].cast("string").alias("text"), names(label).alias("lang")).filter("lang IS NOT NULL AND length(text) > 20")
     counts = {r["lang"]: r["count"] for r in base.groupBy("lang").count().collect()}  # one row per language
     if not counts:
-        return [], []
+        return (), ()
     roots = sum(n**0.5 for n in counts.values())
     odds = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, size * n**0.5 / roots / n)))))
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
     got = base.filter(draw < odds[F.col("lang")]).limit(2 * size).collect()
     rows = sorted((r["text"], LANGS.index(r["lang"])) for r in got)  # the order of rows tells nothing
-    return [r[0] for r in rows], [r[1] for r in rows]
+    return tuple(r[0] for r in rows), tuple(r[1] for r in rows)
 
 
 def stretches(scores: np.ndarray, sizes: np.ndarray, label: int | None) -> list[tuple[int, float]]:
     """(language, confidence) of the stretches of a text from its pieces' summed log-probabilities.
 
-    A piece speaks by its mean log-probability, at most as loud as 60 bytes; a path over the pieces that pays for
+    A piece speaks by its mean log-probability, at most as loud as 30 steps; a path over the pieces that pays for
     each change of language is found by dynamic programming.
     """
     mean = scores / np.maximum(1, sizes)[:, None]
-    say = mean * (np.minimum(sizes, 60) / 6.0)[:, None]
+    say = mean * (np.minimum(sizes, 30) / 3.0)[:, None]
     if label is not None:
         say = say.copy()
         say[:, label] += LABEL
@@ -265,7 +328,7 @@ def identify(df: DataFrame, key: str, text: str, label: str, net: Net, joined: C
                 parts: list[list[int]] = []
                 texts = []
                 for t, many in zip(b["text"], b["joined"]):
-                    if len(_word.findall(t)) < min_words:
+                    if not _has_words(t, min_words):
                         texts.append([])
                         continue
                     own = []
@@ -279,7 +342,7 @@ def identify(df: DataFrame, key: str, text: str, label: str, net: Net, joined: C
                     texts.append(own)
                 pooled = net.pool(seqs) if seqs else np.zeros((0, len(LANGS)), np.float32)
                 score = np.array([pooled[p].sum(0) for p in parts]).reshape(-1, len(LANGS))
-                size = np.array([sum(len(seqs[i]) for i in p) for p in parts])
+                size = np.array([sum((len(seqs[i]) + 1) // 2 for i in p) for p in parts])
                 rows = []
                 for key_, lab, own in zip(b["key"], b["label"], texts):
                     if not own:

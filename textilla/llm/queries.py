@@ -123,7 +123,7 @@ def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "proyectos")
     both = p.select("referencia", F.explode(F.array(*(F.struct(F.lit(f).alias("fld"), F.col(f).alias("text"), F.col(f"{f}_lang").alias("label"), F.col(f"{o}_lang").alias("other")) for f, o in (("titulo", "resumen"), ("resumen", "titulo"))))).alias("x"))
     both = both.select(F.concat_ws("|", "x.fld", "referencia").alias("key"), "x.text", "x.label", "x.other")
-    net = language.train(*language.sample(both, "text", "label", "other"))
+    net = language.trained(*language.sample(both, "text", "label", "other"))
     found = language.identify(both, "key", "text", "label", net, F.startswith("key", F.lit("titulo|")))
     return found.select(F.expr("substring(key, instr(key, '|') + 1)").alias("referencia"), F.substring_index("key", "|", 1).alias("fld"), "seg", "lang", "confidence", "n_segs", "recorded")
 
