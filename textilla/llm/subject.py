@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,27 +11,34 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.packed import explode_packed
 from ..session import cut
-from .textnorm import word_hashes, words
+from .pairs import met
+from .textnorm import folded, word_hashes, words
 
 #: Hashed vocabulary: what bounds the model, whatever the corpus. Smoothing, rounds, and the score from which a
 #: sentence speaks of a subject rather than of none, before it is calibrated.
 BUCKETS, ALPHA, ROUNDS, NONE, LABEL = 1 << 18, 2.0, 4, 3.0, 1.0
-_end = re.compile(r"(?<=[.!?…])[\"”»)\]]*\s+|(?<=[.!?…:])[\"”»)\]]*(?:\r?\n|_x000D_)+|(?:\r?\n|_x000D_){2,}|\s+(?://|\|)\s+")
+_end = re.compile(r"(?<=[.!?…])[\"”»)\]]*\s+|(?<=[.!?…:])[\"”»)\]]*(?:\r?\n|_x000d_)+|(?:\r?\n|_x000d_){2,}|\s+(?://|\|)\s+")
+_word = re.compile(r"[^\W_]+")
+#: Buckets of a chunk of sums, and how many tasks a core may have in a pass that sums up.
+CHUNK, PER_CORE = 8192, 4
 
 
-def sentences(text: str) -> list[str]:
-    return [s for s in _end.split(text) if s and s.strip()]
+def sentences(text: str) -> list[list[str]]:
+    """The words of each sentence that has any."""
+    parts = (_word.findall(s.replace("_x000d_", " ")) for s in _end.split(folded(text)))
+    return [p for p in parts if p]
 
 
-def _features(own: np.ndarray) -> np.ndarray:
-    """Buckets of a sentence's words, and of its pairs of words one or two apart."""
+def _features(own: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, their parts in order) of words, and of pairs of words one or two apart within one part."""
     with np.errstate(over="ignore"):
-        two = own[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ own[1:]
-        three = own[:-2] * np.uint64(0xC2B2AE3D27D4EB4F) ^ own[2:]
-        both = np.concatenate([own, two, three])
+        near, far = part[1:] == part[:-1], part[2:] == part[:-2]
+        both = np.concatenate([own, (own[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ own[1:])[near], (own[:-2] * np.uint64(0xC2B2AE3D27D4EB4F) ^ own[2:])[far]])
         both ^= both >> np.uint64(33)
         both *= np.uint64(0xFF51AFD7ED558CCD)
-    return ((both >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int32)
+    where = np.concatenate([part, part[1:][near], part[2:][far]])
+    order = np.argsort(where, kind="stable")
+    return ((both >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int32)[order], where[order]
 
 
 #: Bits of a label mask, a signed 64-bit number.
@@ -39,23 +46,25 @@ AREAS = 63
 
 
 def units(df: DataFrame, min_words: int) -> DataFrame:
-    """(key, feats, cuts, n_abstract, n_words, mask) of rows (key, title, text, mask): features of all sentences in a row, the text's first, and where each ends."""
+    """(key, feats, cuts, n_abstract, n_words, mask) of rows (key, title, text, mask): features of all sentences in a row, the text's first, and where each ends, as 32-bit numbers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for key, title, text, mask in zip(b["key"], b["title"], b["text"], b["mask"]):
-                parts = [words(s) for s in sentences(text or "")]
-                parts = [p for p in parts if p]
-                n = len(parts)
-                head = words(title)
-                total = sum(len(p) for p in parts)
-                hashes, offs = word_hashes(parts + ([head] if head else []))
-                feats = [_features(hashes[offs[i] : offs[i + 1]]) for i in range(len(offs) - 1)]
-                rows.append((key, np.concatenate(feats) if feats else np.zeros(0, np.int32), np.cumsum([len(f) for f in feats]).astype(np.int32), n, total, mask))
-            yield pd.DataFrame(rows, columns=["key", "feats", "cuts", "n_abstract", "n_words", "mask"])
-
-    out = df.mapInPandas(run, "key string, feats array<int>, cuts array<int>, n_abstract int, n_words int, mask bigint")
+        for whole in batches:
+            for lo in range(0, len(whole), 1000):
+                b = whole.iloc[lo : lo + 1000]
+                body = [sentences(t or "") for t in b["text"]]
+                heads = [words(t) for t in b["title"]]
+                parts = [p for own, head in zip(body, heads) for p in [*own, *([head] if head else [])]]
+                n_parts = np.array([len(own) + bool(head) for own, head in zip(body, heads)], np.int64)
+                hashes, offs = word_hashes(parts)
+                feats, where = _features(hashes, np.repeat(np.arange(len(parts)), np.diff(offs)))
+                ends = np.cumsum(np.bincount(where, minlength=len(parts)))
+                last = np.r_[0, np.cumsum(n_parts)]
+                begin = np.r_[0, ends][last]
+                rows = [(feats[s:e].tobytes(), (ends[i:j] - s).astype(np.int32).tobytes()) for s, e, i, j in zip(begin[:-1], begin[1:], last[:-1], last[1:])]
+                yield pd.DataFrame({"key": b["key"].to_numpy(), "feats": [r[0] for r in rows], "cuts": [r[1] for r in rows], "n_abstract": np.array([len(x) for x in body], np.int32), "n_words": np.array([sum(map(len, x)) for x in body], np.int32), "mask": b["mask"].to_numpy()})
+
+    out = df.mapInPandas(run, "key string, feats binary, cuts binary, n_abstract int, n_words int, mask bigint")
     return out.filter((F.col("n_words") >= min_words) | (F.col("mask") > 0))
 
 
@@ -73,8 +82,7 @@ def weights(counts: np.ndarray) -> np.ndarray:
 
 def _scores(feats: np.ndarray, cuts: np.ndarray, w: np.ndarray) -> np.ndarray:
     """(sentences, subjects): weights summed over each sentence's features."""
-    run = np.vstack([np.zeros((1, w.shape[1])), np.cumsum(w[feats], 0, dtype=np.float64)])
-    return run[cuts] - run[np.r_[0, cuts[:-1]]]
+    return np.add.reduceat(w[feats], np.r_[0, cuts[:-1]], 0)
 
 
 def _flat(batches: Iterator[pd.DataFrame], docs: int = 500) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
@@ -82,42 +90,55 @@ def _flat(batches: Iterator[pd.DataFrame], docs: int = 500) -> Iterator[tuple[pd
     for whole in batches:
         for lo in range(0, len(whole), docs):
             b = whole.iloc[lo : lo + docs]
-            size = np.array([len(f) for f in b["feats"]])
-            if not size.sum():
+            feats = np.frombuffer(b"".join(b["feats"]), np.int32)
+            if not len(feats):
                 continue
-            start = np.r_[0, np.cumsum(size)[:-1]]
-            cuts = np.concatenate([np.asarray(c, np.int64) + s for c, s in zip(b["cuts"], start)])
-            yield b, np.concatenate(list(b["feats"])).astype(np.int64), cuts, np.repeat(np.arange(len(b)), [len(c) for c in b["cuts"]])
+            size = np.array([len(f) // 4 for f in b["feats"]])
+            n = np.array([len(c) // 4 for c in b["cuts"]])
+            cuts = np.frombuffer(b"".join(b["cuts"]), np.int32).astype(np.int64) + np.repeat(np.cumsum(size) - size, n)
+            yield b, feats, cuts, np.repeat(np.arange(len(b)), n)
 
 
 def _labels(mask: pd.Series, n: int) -> np.ndarray:
     return (mask.to_numpy(np.int64)[:, None] >> np.arange(n)) & 1
 
 
-def _kind(n: int) -> str:
-    return "bucket int, " + ", ".join(f"v{i} double" for i in range(n))
-
+def _sum(rows: DataFrame, columns: list[str], run: Callable[[Iterator[pd.DataFrame]], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """The sum over all tasks of what ``run`` makes of their rows, an array of ``shape``.
 
-def _rows(bucket: np.ndarray, values: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"bucket": bucket.astype(np.int32)} | {f"v{i}": values[:, i] for i in range(values.shape[1])})
+    Tasks are as many as the cluster has cores for, not as the table has parts; their arrays go out in chunks that
+    are added up as they arrive, so that no task holds more than its chunks.
+    """
+    sc = rows.sparkSession.sparkContext
+    step = min(CHUNK, shape[1])
+    chunks = -(-shape[1] // step)
 
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc = run(batches).astype(np.float32)
+        if acc.any():
+            yield pd.DataFrame([(i, acc[:, i * step : (i + 1) * step].tobytes()) for i in range(chunks)], columns=["chunk", "sums"])
 
-def _gather(rows: DataFrame, n: int) -> np.ndarray:
-    """(buckets, n) sums of rows (bucket, v0..); the sums are bounded by the hashed vocabulary."""
-    got = rows.groupBy("bucket").agg(*(F.sum(f"v{i}").alias(f"v{i}") for i in range(n))).toArrow()
-    out = np.zeros((BUCKETS, n))
-    out[got["bucket"].to_numpy()] = np.stack([got[f"v{i}"].to_numpy() for i in range(n)], 1) if got.num_rows else 0
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, x in zip(b["chunk"].tolist(), b["sums"]):
+                own[i] = own.get(i, 0) + np.frombuffer(x, np.float32).astype(np.float64)
+        yield pd.DataFrame([(i, x.tobytes()) for i, x in own.items()], columns=["chunk", "sums"])
+
+    kind = "chunk int, sums binary"
+    out = np.zeros(shape)
+    for r in rows.select(*columns).coalesce(PER_CORE * sc.defaultParallelism).mapInPandas(part, kind).repartition("chunk").mapInPandas(add, kind).collect():
+        own = np.frombuffer(r["sums"], np.float64).reshape(shape[0], -1)
+        out[:, r["chunk"] * step : r["chunk"] * step + own.shape[1]] = own
     return out
 
 
 def count(rows: DataFrame, n: int, w: np.ndarray | None) -> np.ndarray:
-    """One pass over ``rows``: (buckets, n + 1) expected counts, from the labels alone if there are no weights yet.
+    """One pass over ``rows``: (buckets, n + 1) expected counts, from the labels alone if there are no weights yet."""
+    sent = rows.sparkSession.sparkContext.broadcast(w)
 
-    Each task adds its documents up before anything is shuffled.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = np.zeros((n + 1, BUCKETS))
+    def run(batches: Iterator[pd.DataFrame]) -> np.ndarray:
+        acc, w = np.zeros((n + 1, BUCKETS)), sent.value
         for b, feats, cuts, doc in _flat(batches):
             label = _labels(b["mask"], n)[doc]
             if w is None:
@@ -128,11 +149,11 @@ def count(rows: DataFrame, n: int, w: np.ndarray | None) -> np.ndarray:
                 r = s / s.sum(1, keepdims=True)
             size = np.diff(np.r_[0, cuts])
             for c in range(n + 1):
-                acc[c] += np.bincount(feats, np.repeat(r[:, c], size), BUCKETS)
-        used = np.flatnonzero(acc.any(0))
-        yield _rows(used, acc[:, used].T)
+                if r[:, c].any():
+                    acc[c] += np.bincount(feats, np.repeat(r[:, c], size), BUCKETS)
+        return acc
 
-    return _gather(rows.select("feats", "cuts", "mask").mapInPandas(run, _kind(n + 1)), n + 1)
+    return _sum(rows, ["feats", "cuts", "mask"], run, (n + 1, BUCKETS)).T
 
 
 def calibrate(rows: DataFrame, n: int, w: np.ndarray, width: float = 0.5, bins: int = 40) -> np.ndarray:
@@ -144,8 +165,10 @@ def calibrate(rows: DataFrame, n: int, w: np.ndarray, width: float = 0.5, bins:
     sentences borrow from all.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = np.zeros((n, bins, 2))
+    sent = rows.sparkSession.sparkContext.broadcast(w)
+
+    def run(batches: Iterator[pd.DataFrame]) -> np.ndarray:
+        acc, w = np.zeros((n, bins, 2)), sent.value
         for b, feats, cuts, doc in _flat(batches):
             first = np.r_[True, doc[1:] != doc[:-1]]
             nth = np.arange(len(doc)) - np.maximum.accumulate(np.where(first, np.arange(len(doc)), 0))
@@ -155,9 +178,9 @@ def calibrate(rows: DataFrame, n: int, w: np.ndarray, width: float = 0.5, bins:
             for c in range(n):
                 acc[c, :, 0] += np.bincount(at[:, c], label[:, c], bins)
                 acc[c, :, 1] += np.bincount(at[:, c], minlength=bins)
-        yield _rows(np.arange(n * bins), acc.reshape(-1, 2))
+        return acc.reshape(1, -1)
 
-    got = _gather(rows.select("feats", "cuts", "mask", "n_abstract").mapInPandas(run, _kind(2)), 2)[: n * bins].reshape(n, bins, 2)
+    got = _sum(rows, ["feats", "cuts", "mask", "n_abstract"], run, (1, n * bins * 2)).reshape(n, bins, 2)
     pooled = got.sum(0)
     out = np.zeros((n, bins))
     for c in range(n):
@@ -199,7 +222,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, taxonomy: DataFrame, extra
     bit = F.try_element_at(F.create_map(*(x for k, v in names.items() for x in (F.lit(k), F.lit(v).cast("bigint")))), F.lower("val"))
     masks = explode_packed(labels, key, label).select("key", bit.alias("bit")).filter("bit IS NOT NULL").groupBy("key").agg(F.bit_or("bit").alias("mask"))
     src = docs.select(docs[key].cast("string").alias("key"), docs[title].cast("string").alias("title"), docs[text].cast("string").alias("text")).filter("key IS NOT NULL AND text IS NOT NULL")
-    body = src.join(masks, "key", "left").select("key", "title", "text", F.coalesce("mask", F.lit(0)).cast("bigint").alias("mask"))
+    body = met(src, masks, "key", "left").select("key", "title", "text", F.coalesce("mask", F.lit(0)).cast("bigint").alias("mask"))
     # a labelled text of a few words, such as a placeholder, teaches nothing
     rows = cut(units(body, min_words).filter("n_words > 4"))
     spark = docs.sparkSession
@@ -218,8 +241,10 @@ def subject_areas(docs: DataFrame, labels: DataFrame, taxonomy: DataFrame, extra
     table = calibrate(rows, n, w)
     codes = [a[0] for a in areas]
     width, bins = 0.5, table.shape[1]
+    sent = spark.sparkContext.broadcast(w)
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = sent.value
         for b, feats, cuts, doc in _flat(batches):
             first = np.r_[True, doc[1:] != doc[:-1]]
             nth = np.arange(len(doc)) - np.maximum.accumulate(np.where(first, np.arange(len(doc)), 0))
