@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -63,12 +63,109 @@ def closest(words: DataFrame, key: str, vec: str, word: object, m: int) -> DataF
     return words.filter(F.col(key) != F.lit(word)).crossJoin(F.broadcast(own)).select(key, distance2(F.col(vec), F.col("_v")).alias("d2")).orderBy("d2", key).limit(m)  # one row
 
 
+#: Vectors of a stated set that go to every task at once; numbers of a distance block.
+SENT, CELLS = 4096, 1 << 22
+
+
+def _blocks(df: DataFrame) -> Iterator[list]:
+    """The rows of a stated set, ``SENT`` at a time: the driver holds one block, whatever the set's size."""
+    rows = []
+    for r in df.toLocalIterator():
+        rows.append(r)
+        if len(rows) == SENT:
+            yield rows
+            rows = []
+    if rows:
+        yield rows
+
+
+def _distances(x: np.ndarray, q: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Squared distances of all of x to some of q, block by block."""
+    step = max(1, CELLS // max(1, x.size))
+    for lo in range(0, len(q), step):
+        yield slice(lo, lo + step), ((x[:, None, :] - q[None, lo : lo + step, :]) ** 2).sum(2)
+
+
+def _union(frames: Iterable[DataFrame], empty: DataFrame) -> DataFrame:
+    out = None
+    for f in frames:
+        out = f if out is None else out.unionByName(f)
+    return empty if out is None else out
+
+
+def near(queries: DataFrame, rows: DataFrame, key: str, vec: str, m: int, carry: Sequence[str] = (), other: bool = True) -> DataFrame:
+    """(q, key, d2, *carry, rank) of the m nearest rows to each of a stated set of queries; ``other`` leaves out the row of the query's own key.
+
+    The queries go to every task in blocks; each batch of rows gives its m nearest to each query (and what ties with
+    the last), so that what is ranked in the end is m rows of each batch. Null vectors are far from all.
+    """
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, *carry)]
+    schema = ", ".join([f"q {queries.schema[key].dataType.simpleString()}", *kinds, "d2 double"])
+    src = rows.select(key, vec, *carry).filter(F.col(vec).isNotNull())
+    sc = rows.sparkSession.sparkContext
+
+    def scan(batches: Iterator[pd.DataFrame], sent) -> Iterator[pd.DataFrame]:
+        ids, q = sent.value
+        for b in batches:
+            keys = b[key].to_numpy()
+            for at, d in _distances(np.stack(b[vec].to_numpy()).astype(np.float64), q):
+                if other:
+                    d[keys[:, None] == ids[None, at]] = np.inf
+                last = np.partition(d, m - 1, 0)[m - 1] if len(d) > m else np.full(d.shape[1], np.finfo(float).max)
+                i, j = np.nonzero(np.isfinite(d) & (d <= last))
+                yield pd.DataFrame({"q": ids[at][j]} | {c: b[c].to_numpy()[i] for c in (key, *carry)} | {"d2": d[i, j]})
+
+    parts = []
+    for block in _blocks(queries.select(key, vec).filter(F.col(vec).isNotNull())):
+        sent = sc.broadcast((np.array([r[0] for r in block]), np.array([r[1] for r in block], dtype=np.float64)))
+        parts.append(src.mapInPandas(lambda batches, sent=sent: scan(batches, sent), schema))
+    found = _union(parts, rows.sparkSession.createDataFrame([], schema))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d2", key))).filter(F.col("rank") <= m)
+
+
 def nearest_of_each(queries: DataFrame, words: DataFrame, key: str, vec: str, m: int) -> DataFrame:
-    """A8 for a stated set of queries against all words, in blocks of words: (q, key, d2, rank)."""
-    q = queries.select(F.col(key).alias("q"), F.col(vec).alias("_v"))
-    pairs = words.join(F.broadcast(q), F.col(key) != F.col("q")) if queries.count() * 1024 < 1 << 26 else words.join(q, F.col(key) != F.col("q"))
-    d = pairs.select("q", key, distance2(F.col(vec), F.col("_v")).alias("d2"))
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d2", key))).filter(F.col("rank") <= m)
+    """A8 for a stated set of queries against all words, in blocks: (q, key, d2, rank)."""
+    return near(queries, words, key, vec, m).select("q", key, "d2", "rank")
+
+
+def _tokens(df: DataFrame, i: str, t: str, words: DataFrame, key: str, vec: str, how: str) -> DataFrame:
+    return df.select(i, F.explode(F.array_distinct("tokens")).alias(t)).join(words.select(F.col(key).alias(t), F.col(vec).cast("array<double>").alias(f"v{t}")), t, how)
+
+
+def _against(left: DataFrame, right: DataFrame, words: DataFrame, key: str, vec: str, least: bool) -> DataFrame:
+    """(lid, rid, a, b, d) of every left token with every token of the right sets, a stated set that goes out in blocks.
+
+    With ``least`` the smallest d of a block alone, without b. d is null where a token is unknown.
+    """
+    l = _tokens(left, "lid", "a", words, key, vec, "left" if least else "inner")  # noqa: E741
+    r = _tokens(right, "rid", "b", words, key, vec, "left" if least else "inner")
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    names = ["lid", "rid", "a", *(() if least else ("b",)), "d"]
+    schema = ", ".join([f"lid {kind(l, 'lid')}", f"rid {kind(r, 'rid')}", f"a {kind(l, 'a')}", *(() if least else (f"b {kind(r, 'b')}",)), "d double"])
+    sc = left.sparkSession.sparkContext
+
+    def scan(batches: Iterator[pd.DataFrame], sent) -> Iterator[pd.DataFrame]:
+        rids, tokens, q, start, owners = sent.value
+        for whole in batches:
+            for lo in range(0, len(whole), 256):
+                b = whole.iloc[lo : lo + 256]
+                x = np.stack([np.full(q.shape[1], np.nan) if v is None else np.asarray(v, float) for v in b["va"]]) if len(b) else np.zeros((0, q.shape[1]))
+                d = np.concatenate([part for _, part in _distances(x, q)], 1)
+                if least:
+                    d = np.fmin.reduceat(d, start, 1)
+                i, j = np.divmod(np.arange(d.size), d.shape[1])
+                out = {"lid": b["lid"].to_numpy()[i], "rid": (owners if least else rids)[j], "a": b["a"].to_numpy()[i]}
+                yield pd.DataFrame(out | ({} if least else {"b": tokens[j]}) | {"d": pd.array(d.ravel(), dtype="Float64")})[names]
+
+    parts = []
+    width = words.select(F.max(F.size(vec))).first()[0] or 1
+    for block in _blocks(r.select("rid", "b", "vb").orderBy("rid")):
+        rids, tokens = np.array([x[0] for x in block]), np.array([x[1] for x in block])
+        q = np.array([[np.nan] * width if x[2] is None else x[2] for x in block], dtype=np.float64)
+        start = np.flatnonzero(np.r_[True, rids[1:] != rids[:-1]])
+        sent = sc.broadcast((rids, tokens, q, start, rids[start]))
+        parts.append(l.select("lid", "a", "va").mapInPandas(lambda batches, sent=sent: scan(batches, sent), schema))
+    return _union(parts, left.sparkSession.createDataFrame([], schema))
 
 
 def kernel(left: DataFrame, right: DataFrame, words: DataFrame, key: str, vec: str, sigma: float) -> DataFrame:
@@ -76,11 +173,9 @@ def kernel(left: DataFrame, right: DataFrame, words: DataFrame, key: str, vec: s
 
     left (lid, tokens), right (rid, tokens): right is a stated set, such as categories.
     """
-    norm = words.agg(F.avg(dot(F.col(vec), F.col(vec))).alias("mean2"))
-    side = lambda df, i, t: df.select(i, F.explode(F.array_distinct("tokens")).alias(t)).join(words.select(F.col(key).alias(t), F.col(vec).alias(f"v{t}")), t)
-    known_l, known_r = side(left, "lid", "a"), side(right, "rid", "b")
-    d = known_l.join(known_r, F.lit(True)).join(F.broadcast(norm), F.lit(True))
-    return d.select("lid", "rid", "a", "b", F.exp(-F.abs(distance2(F.col("va"), F.col("vb"))) / F.col("mean2") / sigma).alias("k"))
+    norm = words.agg(F.avg(dot(F.col(vec), F.col(vec)))).first()[0]
+    d = _against(left, right, words, key, vec, False)
+    return d.select("lid", "rid", "a", "b", F.exp(-F.abs(F.col("d")) / F.lit(norm).cast("double") / sigma).alias("k"))
 
 
 def kernel_score(pairs: DataFrame, digits: int = 3) -> DataFrame:
@@ -93,9 +188,9 @@ def kernel_score(pairs: DataFrame, digits: int = 3) -> DataFrame:
 
 def row_minima(left: DataFrame, right: DataFrame, words: DataFrame, key: str, vec: str) -> DataFrame:
     """(lid, rid, d): the mean over left tokens of the least squared distance to a right one; 9999 for an unknown token."""
-    side = lambda df, i, t: df.select(i, F.explode(F.array_distinct("tokens")).alias(t)).join(words.select(F.col(key).alias(t), F.col(vec).alias(f"v{t}")), t, "left")
-    d = side(left, "lid", "a").join(side(right, "rid", "b"), F.lit(True)).withColumn("d", F.coalesce(distance2(F.col("va"), F.col("vb")), F.lit(9999.0)))
-    return d.groupBy("lid", "rid", "a").agg(F.min("d").alias("d")).groupBy("lid", "rid").agg(F.avg("d").alias("d"))
+    d = _against(left, right, words, key, vec, True)
+    per = d.groupBy("lid", "rid", "a").agg(F.min(F.coalesce("d", F.lit(9999.0))).alias("d"))
+    return per.groupBy("lid", "rid").agg(F.avg("d").alias("d"))
 
 
 def kernel_pairs(left: DataFrame, right: DataFrame, words: DataFrame, key: str, vec: str, sigma: float) -> DataFrame:

@@ -37,14 +37,32 @@ def indel_ratio(a: str, b: str, least: float = 0.0) -> float:
     return 2 * common / total
 
 
-def candidate_pairs(df: DataFrame, ref: str, text: str, prefix: int = 7, gap: int = 50, shortest: int = 10) -> DataFrame:
-    """(i, j, a, b) of records with the same shape and reference prefix whose lengths differ by under ``gap``.
-
-    The first text must be longer than ``shortest``. A length bucket of the width of the gap joins the block key,
-    so that a large block falls into many tasks; neighbours of a bucket are reached by a second row.
+#: The shapes of references that are compared, and the length of the prefix that two of a shape must share.
+COMPARED = {
+    "aaaa0000-00000": 8,
+    "aaaa0000-000-C00-00": 8,
+    "aaaa-0000-000-C00-00": 9,
+    "aaaa-0000-000": 9,
+    "aaa0000-00000-Caa": 7,
+    "aaa0000-00000-Eaa": 7,
+    "aaa0000-00000-C0-0-P": 7,
+    "aaa0000-00000-C0-0-R": 7,
+    "aaa0000-00000-E": 7,
+    "aaa0000-00000-C00-00": 7,
+}
+
+
+def candidate_pairs(df: DataFrame, ref: str, text: str, prefixes: dict[str, int] | None = None, gap: int = 50, shortest: int = 10) -> DataFrame:
+    """(i, j, a, b) of records of one of the compared shapes that share its prefix and whose lengths differ by under ``gap``.
+
+    ``prefixes`` has the prefix length of each shape (``COMPARED``); other shapes are not compared. The first text
+    must be longer than ``shortest``. A length bucket of the width of the gap joins the block key, so that a large
+    block falls into many tasks; neighbours of a bucket are reached by a second row.
     """
+    lengths = F.create_map(*(x for k, v in (prefixes or COMPARED).items() for x in (F.lit(k), F.lit(v))))
     body = F.trim(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\r\n"), F.lit("\n")))
-    base = df.select(F.col(ref).alias("ref"), shape(F.col(ref)).alias("shape"), F.substring(ref, 1, prefix).alias("pre"), F.trim(F.coalesce(text, F.lit(""))).alias("t"), F.length(body).alias("n"))
+    base = df.select(F.col(ref).alias("ref"), shape(F.col(ref)).alias("shape"), F.trim(F.coalesce(text, F.lit(""))).alias("t"), F.length(body).alias("n"))
+    base = base.withColumn("size", F.try_element_at(lengths, "shape")).filter("size IS NOT NULL").withColumn("pre", F.substring("ref", F.lit(1), F.col("size")))
     base = base.withColumn("bucket", F.floor(F.col("n") / gap))
     i = base.filter(F.col("n") > shortest).select(F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"), "shape", "pre", F.col("ref").alias("i"), F.col("t").alias("a"), F.col("n").alias("ni"))
     j = base.select("bucket", "shape", "pre", F.col("ref").alias("j"), F.col("t").alias("b"), F.col("n").alias("nj"))
@@ -97,20 +115,17 @@ def assign(df: DataFrame, key: str, reps: DataFrame) -> DataFrame:
     return out.select(key, "group_ref", F.coalesce("group_ref", key).alias("group_key"))
 
 
-
-def connected_groups(pairs: DataFrame, rounds: int = 50) -> DataFrame:
-    """The closure that G4 is meant to be: (ref, group_ref) by minima that travel along links until nothing changes."""
+def connected_groups(pairs: DataFrame) -> DataFrame:
+    """The closure that G4 is meant to be: (ref, group_ref) by minima that travel along links, and jump along roots, until nothing changes."""
     from ..session import cut
 
     edges = pairs.select("i", "j").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
     state = cut(edges.select(F.col("i").alias("ref")).distinct().withColumn("group_ref", F.col("ref")))
-    for _ in range(rounds):
+    while True:
         low = edges.join(state, edges["j"] == state["ref"]).groupBy("i").agg(F.min("group_ref").alias("low"))
         step = state.join(low, state["ref"] == low["i"], "left").select("ref", F.least("group_ref", F.coalesce("low", "group_ref")).alias("group_ref"), F.col("group_ref").alias("old"))
         jump = step.select(F.col("ref").alias("g"), F.col("group_ref").alias("gg"))
         new = cut(step.join(jump, step["group_ref"] == jump["g"], "left").select("ref", F.least("group_ref", F.coalesce("gg", "group_ref")).alias("group_ref"), "old"))
-        changed = new.filter("group_ref != old").limit(1).count()
         state = new.select("ref", "group_ref")
-        if not changed:
-            break
-    return state
+        if new.filter("group_ref != old").isEmpty():
+            return state

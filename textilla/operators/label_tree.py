@@ -31,8 +31,9 @@ def is_tree(tree: DataFrame, most: int = 10_000) -> bool:
     return True
 
 
-def closure(tree: DataFrame, depth: int = 20) -> DataFrame:
-    """L1: (cat, anc, dist) of every ancestor."""
+def closure(tree: DataFrame) -> DataFrame:
+    """L1: (cat, anc, dist) of every ancestor. No line of parents is longer than the tree has nodes; beyond the engine's own limit of levels it raises."""
+    depth = tree.count()
     return tree.sparkSession.sql(
         f"WITH RECURSIVE c(cat, anc, dist) AS (SELECT cat, parent, 1 FROM {{tree}} WHERE parent IS NOT NULL UNION ALL SELECT c.cat, t.parent, c.dist + 1 FROM c JOIN {{tree}} t ON c.anc = t.cat WHERE t.parent IS NOT NULL AND c.dist < {depth}) SELECT * FROM c", tree=tree
     )

@@ -9,28 +9,28 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ranking import running_sums
+
 
 # Curves
 
 
 def roc(scores: DataFrame, cat: str = "cat", score: str = "score", positive: str = "y") -> DataFrame:
-    """(cat, thr, tpr, fpr, tp, fp) at every distinct score, ties in one point, and a first point (0, 0) at max + 1.
+    """(cat, thr, tpr, fpr, tp, fp, p, n) at every distinct score, ties in one point, and a first point (0, 0) at max + 1.
 
-    Rows are summed up per score map-side; the window runs over distinct scores of a category. A class without
-    rows gives null rates.
+    Rows are summed up per score map-side, then over ranges of scores: a category's distinct scores need not fit
+    into one task. p and n are a point's own rows. A class without rows gives null rates.
     """
-    per = scores.filter(F.col(score).isNotNull()).groupBy(cat, F.col(score).alias("thr")).agg(F.count_if(F.col(positive) > 0).alias("p"), F.count_if(F.col(positive) <= 0).alias("n"))
+    per = scores.filter(F.col(score).isNotNull() & F.col(cat).isNotNull()).groupBy(cat, F.col(score).alias("thr")).agg(F.count_if(F.col(positive) > 0).alias("p"), F.count_if(F.col(positive) <= 0).alias("n"))
     first = per.groupBy(cat).agg((F.max("thr") + 1).alias("thr"), F.lit(0).cast("bigint").alias("p"), F.lit(0).cast("bigint").alias("n"))
-    w, whole = Window.partitionBy(cat).orderBy(F.desc("thr")), Window.partitionBy(cat)
-    run = per.unionByName(first).select(cat, "thr", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"), F.sum("p").over(whole).alias("np"), F.sum("n").over(whole).alias("nn"))
-    return run.select(cat, "thr", F.try_divide("tp", "np").alias("tpr"), F.try_divide("fp", "nn").alias("fpr"), "tp", "fp")
+    run = running_sums(per.unionByName(first), [cat], [F.desc("thr")], ["p", "n"])
+    return run.select(cat, "thr", F.try_divide("run_p", "all_p").alias("tpr"), F.try_divide("run_n", "all_n").alias("fpr"), F.col("run_p").alias("tp"), F.col("run_n").alias("fp"), "p", "n")
 
 
 def auc(curve: DataFrame, cat: str = "cat") -> DataFrame:
-    """(cat, auc) by trapezoids; null where a class is empty."""
-    w = Window.partitionBy(cat).orderBy(F.desc("thr"))
-    x = curve.withColumn("x0", F.lag("fpr").over(w)).withColumn("y0", F.lag("tpr").over(w))
-    return x.groupBy(cat).agg(F.sum((F.col("fpr") - F.col("x0")) * (F.col("tpr") + F.col("y0")) / 2).alias("auc"))
+    """(cat, auc) by trapezoids; null where a class is empty. Each point of ``roc`` knows the step that leads to it."""
+    area = F.col("n").cast("double") * (2 * F.col("tp") - F.col("p")) / 2
+    return curve.groupBy(cat).agg(F.try_divide(F.sum(area), F.max("tp") * F.max("fp").cast("double")).alias("auc"))
 
 
 def best_threshold(curve: DataFrame, cat: str = "cat") -> DataFrame:
@@ -44,12 +44,19 @@ def first_tag(df: DataFrame, labels: str, categories: DataFrame, cat: str = "ref
 
 
 def weighted_curve(df: DataFrame, pred: str, label: str, weight: Column | None = None) -> DataFrame:
-    """(thr, nfn, ntn, nfp, ntp): weights of positives and negatives below or at each prediction, and above it."""
+    """(thr, nfn, ntn, nfp, ntp): weights of positives and negatives below or at each prediction, and above it.
+
+    Predictions are summed up over their ranges, not in one task.
+    """
     wt = weight if weight is not None else F.lit(1.0)
     per = df.filter(F.col(pred).isNotNull()).groupBy(F.col(pred).alias("thr")).agg(F.sum(F.when(F.col(label) > 0, wt).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(label) < 0, wt).otherwise(0.0)).alias("n"))
-    w, whole = Window.partitionBy(F.lit(0)).orderBy("thr"), Window.partitionBy(F.lit(0))
-    fn, tn = F.sum("p").over(w), F.sum("n").over(w)
-    return per.select("thr", fn.alias("nfn"), tn.alias("ntn"), (F.sum("n").over(whole) - tn).alias("nfp"), (F.sum("p").over(whole) - fn).alias("ntp"))
+    run = running_sums(per, [], [F.asc("thr")], ["p", "n"])
+    return run.select("thr", F.col("run_p").alias("nfn"), F.col("run_n").alias("ntn"), (F.col("all_n") - F.col("run_n")).alias("nfp"), (F.col("all_p") - F.col("run_p")).alias("ntp"))
+
+
+def marked_curve(df: DataFrame, pred: str, label: str, marker: str = "marker") -> DataFrame:
+    """E17 over the rows drawn at random alone."""
+    return weighted_curve(df.filter(F.col(marker) == 0), pred, label)
 
 
 def balanced_threshold(curve: DataFrame) -> DataFrame:
@@ -200,11 +207,15 @@ def identity_rbo(n: int, p: float) -> float:
     return (1 - p) / p * (sum(p**d / d * (d - n) for d in range(1, n + 1)) - n * math.log(1 - p)) if n else 0.0
 
 
-def jrbo_cost(a: str, b: str, alpha: float = 0.9, p: float = 0.9, longest: int = 48) -> Column:
-    """Jaccard and rank-biased cost, weighed by alpha, halved; two empty lists cost 0, one empty list counts as 1 in both parts."""
-    base = F.array(*(F.lit(identity_rbo(n, p)) for n in range(1, longest + 1)))
-    n = F.least(F.size(a), F.size(b), F.lit(longest))
-    r = 1 - rbo_min(ties(a), ties(b), p) / F.get(base, n - 1)
+def jrbo_cost(a: str, b: str, alpha: float = 0.9, p: float = 0.9, tabled: int = 48) -> Column:
+    """Jaccard and rank-biased cost, weighed by alpha, halved; two empty lists cost 0, one empty list counts as 1 in both parts.
+
+    What a list has with itself is looked up for ``tabled`` lengths and summed up for longer ones.
+    """
+    table = F.array(*(F.lit(identity_rbo(n, p)) for n in range(1, tabled + 1)))
+    n = F.least(F.size(a), F.size(b))
+    longer = (1 - p) / p * (_series(n, lambda d: F.pow(F.lit(p), d) / d * (d - n)) - n * math.log(1 - p))
+    r = 1 - rbo_min(ties(a), ties(b), p) / F.when(n <= tabled, F.get(table, n - 1)).otherwise(longer)
     j = 1 - jaccard(a, b)
     empty_a, empty_b = F.size(a) == 0, F.size(b) == 0
     return F.when(empty_a & empty_b, 0.0).when(empty_a | empty_b, 0.5).otherwise((alpha * j + (1 - alpha) * r) / 2)

@@ -13,10 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``); only where that is unset (tests) a local one is made."""
+    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``). Where it is unset a local one is made in local mode, as in tests; a cluster needs one."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not folder and not (sc.master.startswith("local[") or sc.master == "local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="textilla-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
