@@ -6,9 +6,9 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
-from textilla.plans import analytic_queries, core_queries, packed_queries
+from textilla.plans import analytic_queries, core_queries, packed_queries, store_queries
 
-ADDS = [packed_queries.add, core_queries.add, analytic_queries.add]
+ADDS = [packed_queries.add, core_queries.add, analytic_queries.add, store_queries.add]
 ORACLE = {k: v for a in ADDS for k, v in a.oracle.items()}
 QUERIES = {k: v for a in ADDS for k, v in a.queries.items()}
 SLOW = {"m8_cross_validation", "m11_word_vectors"}

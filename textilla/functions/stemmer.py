@@ -119,9 +119,11 @@ def accented(tokens: DataFrame, dictionary: DataFrame, column: str = "token") ->
 
     dictionary (word) stands for the spelling resource, which has to be supplied.
     """
-    base = F.lower(column)
-    tries = [F.struct(F.lit(0).alias("at"), base.alias("word"))] + [F.struct(F.lit(i + 1).alias("at"), F.when(F.length(base) > i, F.concat(F.substring(base, 1, i), F.translate(base.substr(i + 1, 1), "aeiou", "áéíóú"), base.substr(F.lit(i + 2), F.length(base)))).alias("word")) for i in range(24)]
-    cand = tokens.select(F.col(column).alias("token")).distinct().withColumnRenamed("token", column).select(F.col(column).alias("token"), F.explode(F.array(*tries)).alias("x"))
+    base = F.lower("w0")
+    one = F.struct(F.lit(0).alias("at"), base.alias("word"))
+    change = lambda i: F.struct(i.alias("at"), F.concat(F.substring(base, F.lit(1), i - 1), F.translate(F.substring(base, i, F.lit(1)), "aeiou", "áéíóú"), F.substring(base, i + 1, F.length(base))).alias("word"))
+    cand = tokens.select(F.col(column).alias("token")).distinct().select(F.col("token").alias("w0")).filter("length(w0) > 0")
+    cand = cand.select(F.col("w0").alias("token"), F.explode(F.concat(F.array(one), F.transform(F.sequence(F.lit(1), F.length(base)), change))).alias("x"))
     hit = cand.select("token", "x.at", "x.word").join(dictionary.select("word").distinct(), "word").groupBy("token").agg(F.min_by("word", "at").alias("lemma"))
     return tokens.select(F.col(column).alias("token")).distinct().join(hit, "token", "left").withColumn("lemma", F.coalesce("lemma", F.lower("token")))
 

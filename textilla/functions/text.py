@@ -15,6 +15,9 @@ WORD = r"[\p{L}\p{N}_]{2,}"
 STOP = {
     "es": "de la que el en y a los del se las por un para con no una su al lo como más",
     "en": "the of and to in a is that for it as was with be by on not he his but at are this",
+    "ca": "i el la de que els les a en per amb un una és del dels al no es més ha com aquest això també",
+    "pt": "o a de que e do da em um para com não uma os no se na por mais as dos como ao pelo foi",
+    "fr": "le la de et les des en un une du dans est que pour qui par sur au plus ne pas ce avec il sont",
 }
 #: Stems that seed four labels.
 BIOTEC = ["biotecnol", "biofabric", "biolixiv", "bionanotec", "biorremed", "mutagenesis", "viroterapia", "bioproduc", "bioplastico", "bioprocesamiento", "biocatalisis", "bioferment", "biomaterial", "transgenico"]

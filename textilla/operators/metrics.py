@@ -249,6 +249,14 @@ def choose_threshold(costs: DataFrame) -> DataFrame:
     return costs.agg(((first("cost") + first("gap")) / 2).alias("threshold"))
 
 
+def nearest_point(costs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """A column nearest, true for the grid point next to the chosen threshold, the higher one of two; the grid is a small fixed table."""
+    at = chosen.select(F.col("threshold").alias("_t"))
+    gap = F.round(F.abs(F.col("threshold") - F.col("_t")), 9)
+    w = Window.partitionBy(F.lit(0)).orderBy(gap, -F.col("threshold"))
+    return costs.crossJoin(F.broadcast(at)).withColumn("nearest", F.row_number().over(w) == 1).drop("_t")  # one row
+
+
 def block_emd(df: DataFrame, key: str, truth: str, pred: str, parents: DataFrame) -> DataFrame:
     """(key, emd) under a cost of 0 within a parent category and 1 across: 1 - sum of min(P, Q) over parents."""
     side = lambda c, n: df.filter((F.size(truth) > 0) & (F.size(pred) > 0)).select(key, F.explode(_weights(c, False)).alias("x")).join(parents, F.col("x.c") == F.col("cat")).groupBy(key, "parent").agg(F.sum("x.w").alias(n))

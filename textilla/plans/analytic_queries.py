@@ -40,6 +40,11 @@ def t9(spark, d):
     return w.groupBy("doc_id").agg(F.count("*").alias("n_terms"), R6(F.sum("w")).alias("mass"), R6(F.max("w")).alias("top"))
 
 
+@add("t9_weights", f"WITH {_TF}, {_IDF}, w AS (SELECT doc_id, term, tf * idf AS w FROM c JOIN v USING (term)), n AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1) SELECT doc_id, term, round(w / norm, 6) AS w FROM w JOIN n USING (doc_id)")
+def t9w(spark, d):
+    return tfidf.tfidf(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "term", R6("w").alias("w"))
+
+
 _DEF = f"dc AS (SELECT reference, term, count(*) AS tf FROM (SELECT reference, unnest(regexp_extract_all(lower(definition), '{tx.WORD}')) AS term FROM taxonomy WHERE definition IS NOT NULL) GROUP BY 1, 2), dv AS (SELECT term, ln((1.0 + (SELECT count(*) FROM taxonomy WHERE definition IS NOT NULL)) / (1 + count(*))) + 1 AS idf FROM dc GROUP BY 1 HAVING count(*) >= 1), dw AS (SELECT reference, term, tf * idf AS w FROM dc JOIN dv USING (term)), dn AS (SELECT reference, sqrt(sum(w * w)) AS norm FROM dw GROUP BY 1), wt AS (SELECT reference, term, w / norm AS w FROM dw JOIN dn USING (reference))"
 
 
@@ -144,11 +149,6 @@ def g5(spark, d):
 # Splits
 
 
-@add("m5_group_split")
-def m5(spark, d):
-    return split.group_split(table(spark, d, "proyectos").select("referencia", "tconv"), "tconv").groupBy("is_train").agg(F.count_distinct("tconv").alias("groups"), F.count("*").alias("n"))
-
-
 @add("m6_folds", "SELECT c_nationkey, ((c_custkey * 2654435761) % 4294967296 % 10)::INT AS fold, count(*) FILTER (c_acctbal > 0) AS positives FROM customer GROUP BY 1, 2")
 def m6(spark, d):
     c = table(spark, d, "customer").withColumn("fold", F.pmod(split.arithmetic_hash(F.col("c_custkey")), F.lit(10)).cast("int"))
@@ -227,15 +227,15 @@ def p11(spark, d):
     return decide.first_code(_truth(spark, d), "doc", "labels", tax)
 
 
-@add("pr12_prediction_weights", f"SELECT doc, round(max(p / s), 6) AS top FROM (SELECT doc, p, sum(p) OVER (PARTITION BY doc) AS s FROM {_S} WHERE p > 0) GROUP BY 1")
+@add("pr12_prediction_weights", f"SELECT doc, string_agg(round(p / s, 6)::VARCHAR, '|' ORDER BY p DESC, cat) AS weights FROM (SELECT doc, cat, p, sum(p) OVER (PARTITION BY doc) AS s FROM {_S} WHERE p > 0) GROUP BY 1")
 def p12(spark, d):
     o = decide.ordered(_scores(spark, d).filter("p > 0"), "doc", "p")
-    return o.select("doc", R6(F.array_max(decide.prediction_weights(o, "values"))).alias("top"))
+    return o.select("doc", F.array_join(F.transform(decide.prediction_weights(o, "values"), lambda x: R6(x).cast("string")), "|").alias("weights"))
 
 
-@add("pr13_persist", f"SELECT doc, string_agg(cat, '+' ORDER BY p DESC, cat) AS classif FROM {_S} GROUP BY 1")
+@add("pr13_persist", f"SELECT doc, string_agg(cat, '+' ORDER BY p DESC, cat) AS classif, '[' || string_agg(p::VARCHAR, ', ' ORDER BY p DESC, cat) || ']' AS weights FROM {_S} GROUP BY 1")
 def p13(spark, d):
-    return decide.persist_form(decide.ordered(_scores(spark, d), "doc", "p"), "doc", "labels", "values").select("doc", "classif")
+    return decide.persist_form(decide.ordered(_scores(spark, d), "doc", "p"), "doc", "labels", "values").select("doc", "classif", "weights")
 
 
 # Metrics
@@ -321,9 +321,12 @@ def e7(spark, d):
     return metrics.error_rate(_confusion(spark, d)).select(R6("error").alias("error"))
 
 
-@add("e8_block_emd", f"""WITH b AS (SELECT doc, labels, pred FROM {_T} JOIN {_L8} USING (doc)), p AS (SELECT doc, par, sum(1.0 / n) AS w FROM (SELECT doc, len(labels) AS n, substr(unnest(labels), 2)::INT % 3 AS par FROM b) GROUP BY 1, 2),
+_EMD = f"""WITH b AS (SELECT doc, labels, pred FROM {_T} JOIN {_L8} USING (doc)), p AS (SELECT doc, par, sum(1.0 / n) AS w FROM (SELECT doc, len(labels) AS n, substr(unnest(labels), 2)::INT % 3 AS par FROM b) GROUP BY 1, 2),
 q AS (SELECT doc, par, sum(1.0 / n) AS w FROM (SELECT doc, len(pred) AS n, substr(unnest(pred), 2)::INT % 3 AS par FROM b) GROUP BY 1, 2)
-SELECT doc, round(1 - sum(least(coalesce(p.w, 0), coalesce(q.w, 0))), 6) AS emd FROM p FULL JOIN q USING (doc, par) GROUP BY 1""")
+SELECT doc, round(1 - sum(least(coalesce(p.w, 0), coalesce(q.w, 0))), 6) AS emd FROM p FULL JOIN q USING (doc, par) GROUP BY 1"""
+
+
+@add("e8_block_emd", _EMD)
 def e8(spark, d):
     par = spark.createDataFrame([(c, str(int(c[1:]) % 3)) for c in _C7], "cat string, parent string")
     return metrics.block_emd(_lists(spark, d), "doc", "labels", "pred", par).select("doc", R6("emd").alias("emd"))
@@ -377,16 +380,6 @@ def e12(spark, d):
     return _lists(spark, d).select("doc", R6(metrics.jrbo_cost("labels", "pred")).alias("cost"))
 
 
-@add("e13_threshold_costs")
-def e13(spark, d):
-    return metrics.threshold_costs(_scores(spark, d), _truth(spark, d), "doc").select("threshold", R6("cost").alias("cost"), R6("gap").alias("gap"))
-
-
-@add("e13_choose_threshold")
-def e13c(spark, d):
-    return metrics.choose_threshold(metrics.threshold_costs(_scores(spark, d), _truth(spark, d), "doc"))
-
-
 _WC = f"(SELECT score AS thr, sum(CASE WHEN y > 0 THEN 1.0 ELSE 0 END)::DOUBLE AS p, sum(CASE WHEN y < 0 THEN 1.0 ELSE 0 END)::DOUBLE AS n FROM {_Y} GROUP BY 1)"
 
 
@@ -512,12 +505,6 @@ def l2(spark, d):
     return label_tree.infer(_marks(spark, d), _tree(spark, d))
 
 
-@add("l3_update")
-def l3(spark, d):
-    old = _marks(spark, d)
-    return label_tree.update(old, old.withColumn("y", F.col("y") * F.when(F.col("key") % 2 == 0, -1).otherwise(0)), _tree(spark, d))
-
-
 @add("l4_transfer_predictions", "SELECT coalesce(o.referencia, n.referencia) AS referencia, coalesce(n.url, o.url) AS url, coalesce(n.p, o.p) AS p FROM (SELECT referencia, referencia AS url, weight AS p FROM labels_info WHERE marker = 0) o FULL JOIN (SELECT referencia, referencia AS url, weight * 2 AS p FROM labels_info WHERE relabel = 0) n USING (referencia)")
 def l4(spark, d):
     i = table(spark, d, "labels_info")
@@ -526,25 +513,12 @@ def l4(spark, d):
     return label_tree.transfer_predictions(old, new, "referencia")
 
 
-@add("l6_rank_labels")
-def l6(spark, d):
-    t = table(spark, d, "taxonomy").select(F.col("reference").alias("cat"), "parent")
-    h = table(spark, d, "labels_info").select(F.col("referencia").alias("key"), tx.clean_labels(F.col("labelstr"), "++").alias("labels")).filter("labels IS NOT NULL")
-    return label_tree.rank_labels(h, t)
-
-
 @add("l8_dataset", "SELECT l_orderkey AS key, cat, coalesce(p, 0.0) AS p FROM (SELECT l_orderkey, max(l_discount) FILTER (l_linenumber = 1) AS c1, max(l_discount) FILTER (l_linenumber = 2) AS c2 FROM lineitem GROUP BY 1) UNPIVOT INCLUDE NULLS (p FOR cat IN (c1, c2))")
 def l8(spark, d):
     w = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(*(F.max(F.when(F.col("l_linenumber") == i, F.col("l_discount"))).alias(f"c{i}") for i in (1, 2)))
     return label_tree.dataset(w, "key", ["c1", "c2"])
 
 
-@add("l9_conflicts")
-def l9(spark, d):
-    m = _marks(spark, d)
-    return label_tree.conflicts(m, m.withColumn("y", F.lit(1))).select("key", "cat", F.array_join("old_yes", "|").alias("old_yes"))
-
-
 # Samples
 
 
@@ -615,7 +589,15 @@ def rank(spark, d):
 # Models
 
 
-@add("m2_grid")
+_G = {k: f"unnest({list(v)})" for k, v in (("c", models.RANGE_C), ("n", models.RANGE_N), ("l", models.RANGE_L), ("a", models.RANGE_ALPHA), ("c7", list(models.RANGE_C)[:7]))}
+_GRID = f"""SELECT 'LRC' || k AS model_name, 'LR' AS model_type FROM (SELECT {_G['c']} AS k) UNION ALL SELECT 'LSVMC' || k, 'LSVM' FROM (SELECT {_G['c']} AS k)
+UNION ALL SELECT 'SVMpoly' || d || 'C' || k, 'SVMpoly' FROM (SELECT {_G['c']} AS k), (SELECT unnest([2, 3]) AS d) UNION ALL SELECT 'DT', 'DT' UNION ALL SELECT 'ABN' || k, 'AB' FROM (SELECT {_G['n']} AS k)
+UNION ALL SELECT 'RFN' || k, 'RF' FROM (SELECT {_G['n']} AS k) UNION ALL SELECT 'MLPC' || k || 'N' || j, 'MLP' FROM (SELECT {_G['c7']} AS k), (SELECT {_G['n']} AS j) UNION ALL SELECT 'KNNN' || k, 'KNN' FROM (SELECT {_G['n']} AS k)
+UNION ALL SELECT 'LASSOL' || k, 'LASSO' FROM (SELECT {_G['l']} AS k) UNION ALL SELECT 'ENL' || k || 'L' || j, 'EN' FROM (SELECT {_G['l']} AS k), (SELECT {_G['l']} AS j)
+UNION ALL SELECT 'MNBA' || k, 'MNB' FROM (SELECT {_G['a']} AS k) UNION ALL SELECT 'BNBL' || k, 'BNB' FROM (SELECT {_G['l']} AS k)"""
+
+
+@add("m2_grid", _GRID)
 def m2(spark, d):
     kinds = ["LR", "LSVM", "SVMpoly", "DT", "AB", "RF", "MLP", "KNN", "LASSO", "EN", "MNB", "BNB"]
     return spark.createDataFrame([(n, t, {k: float(v) for k, v in p.items()}) for n, t, p in models.grid(kinds)], "model_name string, model_type string, params map<string,double>").select("model_name", "model_type")
@@ -666,8 +648,37 @@ def e15(spark, d):
     return got["error"].select(R6("error").alias("error"))
 
 
-@add("m1_prepare", "SELECT referencia, split_part(labelstr, '++', 1) AS tag FROM proyectos JOIN labels_info USING (referencia) WHERE resumen_lang = 'es' AND regexp_full_match(labelstr, '[A-Za-z]+')")
+_TAGS = "list_filter(list_transform(string_split(labelstr, '++'), lambda x: trim(x)), lambda x: x <> '' AND NOT suffix(x, '_'))"
+
+
+@add("m1_prepare", f"SELECT referencia, array_to_string(list_transform(list_filter(generate_series(1, len(l)), lambda i: list_position(l, l[i]) = i), lambda i: l[i]), '|') AS tags FROM (SELECT referencia, {_TAGS} AS l FROM proyectos JOIN labels_info USING (referencia) WHERE resumen_lang = 'es' AND labelstr IS NOT NULL)")
 def m1(spark, d):
-    j = table(spark, d, "proyectos").join(table(spark, d, "labels_info").select("referencia", "labelstr"), "referencia").filter(F.col("labelstr").rlike("^[A-Za-z]+$"))
+    j = table(spark, d, "proyectos").join(table(spark, d, "labels_info").select("referencia", "labelstr"), "referencia")
     tags, _, _ = models.prepare(j, "referencia", "titulo", "resumen", "titulo_lang", "resumen_lang", "labelstr", "++")
-    return tags.select("referencia", F.col("tags")[0].alias("tag"))
+    return tags.select("referencia", F.array_join("tags", "|").alias("tags"))
+
+
+def _compared(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    par = spark.createDataFrame([(c, str(int(c[1:]) % 3)) for c in _C7], "cat string, parent string")
+    pred = decide.labels_from_scores(_scores(spark, d), "doc", 0.3).select("doc", F.col("labels").alias("pred"))
+    return metrics.compare_labels(_truth(spark, d), pred, "doc", "labels", "pred", par)
+
+
+@add("e15_cells", f"{_MASS} SELECT t, p, round(mass, 6) AS mass FROM e")
+def e15c(spark, d):
+    return _compared(spark, d)["cells"].select("t", "p", R6("mass").alias("mass"))
+
+
+@add("e15_cells_equal", f"{_MASS.replace('0.5 ** (i - 1) / (2 - 0.5 ** (len(labels) - 1))', '1.0 / len(labels)').replace('0.5 ** (i - 1) / (2 - 0.5 ** (len(pred) - 1))', '1.0 / len(pred)')} SELECT t, p, round(mass, 6) AS mass FROM e")
+def e15e(spark, d):
+    return _compared(spark, d)["cells_equal"].select("t", "p", R6("mass").alias("mass"))
+
+
+@add("e15_ranked", f"{_MASS}, f AS (SELECT *, 100.0 * mass / sum(mass) OVER () AS pct, 100.0 * mass / sum(mass) OVER (PARTITION BY t) AS row_pct FROM e) SELECT t, p, round(pct, 5) AS pct, round(row_pct, 5) AS row_pct FROM f WHERE t <> p")
+def e15r(spark, d):
+    return _compared(spark, d)["ranked"].select("t", "p", F.round("pct", 5).alias("pct"), F.round("row_pct", 5).alias("row_pct"))
+
+
+@add("e15_emd", _EMD)
+def e15m(spark, d):
+    return _compared(spark, d)["emd"].select("doc", R6("emd").alias("emd"))

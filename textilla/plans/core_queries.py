@@ -78,11 +78,6 @@ def r8(spark, d):
     return store.upsert(c.filter("c_nationkey < 15").select("c_custkey", "c_name", "c_acctbal"), c.filter("c_nationkey > 10").select("c_custkey", (F.col("c_acctbal") * 2).alias("c_acctbal"), F.col("c_nationkey").alias("grade")), "c_custkey")
 
 
-@add("r10_sample_row")
-def r10(spark, d):
-    return store.sample_row(table(spark, d, "proyectos"), "referencia", 3)
-
-
 @add("j1_language", "SELECT referencia FROM proyectos WHERE resumen_lang = 'es'")
 def j1(spark, d):
     return rel.language_filter(table(spark, d, "proyectos"), "resumen_lang").select("referencia")
@@ -212,16 +207,16 @@ def a12(spark, d):
     return rel.latest(h, "referencia", "ingest_ts", ["_l", "_u"]).select("referencia", "label", "userid")
 
 
-@add("t1_detect_language")
-def t1(spark, d):
-    return table(spark, d, "proyectos").select("referencia", tx.detect_language(F.col("resumen")).alias("lang"))
-
-
 @add("t2_sentences", r"SELECT doc_id, len(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))::INT AS n FROM documents WHERE text IS NOT NULL")
 def t2(spark, d):
     return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.size(tx.sentences(F.col("text"))).alias("n"))
 
 
+@add("t2_sentence_texts", r"SELECT doc_id, regexp_replace(text, '([.!?])\s+', '\1|', 'g') AS lines FROM documents WHERE text IS NOT NULL")
+def t2s(spark, d):
+    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.array_join(tx.sentences(F.col("text")), "|").alias("lines"))
+
+
 @add("t3_tokens", f"SELECT doc_id, array_to_string(regexp_extract_all(text, '{tx.TOKEN}'), ' ') AS tokens FROM documents WHERE text IS NOT NULL")
 def t3(spark, d):
     return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.array_join(tx.tokens(F.col("text")), " ").alias("tokens"))

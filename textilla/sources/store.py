@@ -123,6 +123,16 @@ def export_bundle(tables: dict[str, DataFrame], root: str, fmt: str = "parquet")
     return [f"{root}/{name}" for name in tables]
 
 
+def export_predictions(df: DataFrame, root: str, key: str, labels: str, values: str, taxonomy: DataFrame, n: int, encoding: str = "UTF-8") -> dict[str, str]:
+    """Three CSV folders, of the first category with its code (``first``), of n categories, and of n categories with weights; their paths."""
+    from ..operators import decide
+
+    tables = {"first": decide.first_code(df, key, labels, taxonomy), "categories": decide.spread(df, key, labels, n), "weights": decide.spread(df, key, labels, n, values=values)}
+    for name, part in tables.items():
+        export(part, f"{root}/{name}", "csv", header="true", encoding=encoding)
+    return {name: f"{root}/{name}" for name in tables}
+
+
 def label_lines(df: DataFrame, key: str, label: Column) -> DataFrame:
     """Lines ``wid;value``."""
     return df.select(F.concat_ws(";", F.col(key), label.cast("string")).alias("value"))
@@ -163,15 +173,15 @@ def table_info(df: DataFrame) -> tuple[list[str], int]:
     return df.columns, df.count()
 
 
-def create_table(spark: SparkSession, name: str, schema: str) -> None:
-    """R4."""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet")
+def create_table(spark: SparkSession, name: str, schema: str, path: str | None = None) -> None:
+    """In the warehouse, or with its files under ``path``."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet" + (f" LOCATION '{path}'" if path else ""))
 
 
-def reset_table(spark: SparkSession, name: str, schema: str) -> None:
+def reset_table(spark: SparkSession, name: str, schema: str, path: str | None = None) -> None:
     """Dropped and made anew."""
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    create_table(spark, name, schema)
+    create_table(spark, name, schema, path)
 
 
 def add_column(df: DataFrame, name: str, kind: str) -> DataFrame:
@@ -235,9 +245,9 @@ def show(df: DataFrame, rows: int = 500) -> DataFrame:
     return df.limit(rows)
 
 
-def sample_row(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    """A row drawn by a hash of its key and the seed: the first of the hashes, found without a sort."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(1)
+def sample_row(df: DataFrame, key: str, seed: int = 0, order: Column | None = None) -> DataFrame:
+    """A row drawn by a hash of its key and the seed, or by ``order``: the first of the hashes, found without a sort."""
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)) if order is None else order, key).limit(1)
 
 
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:
