@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +155,86 @@ def test_sets_scored_whole(spark, data):
     defs = spark.read.parquet(f"{data}/taxonomy.parquet").filter("definition IS NOT NULL").count()
     assert docs > 4 and aq.add.queries["w6_documents"](spark, data).count() == docs * defs
     assert aq.add.queries["pr17_documents"](spark, data).select("rid").distinct().count() == defs
+
+
+def test_no_bounds(spark):
+    """Long lists, deep trees, long chains and long words are treated like any others."""
+    from textilla.functions import stemmer
+    from textilla.operators import grouping, label_tree, metrics
+
+    a, b = [f"x{i}" for i in range(60)], [f"x{i}" for i in range(59, -1, -1)]
+    df = spark.createDataFrame([(a, a), (a, b)], "a array<string>, b array<string>")
+    same, other = (r[0] for r in df.select(metrics.jrbo_cost("a", "b")).collect())
+    small = spark.createDataFrame([(a[:9], a[:9])], "a array<string>, b array<string>").select(metrics.jrbo_cost("a", "b", tabled=3)).first()[0]
+    assert abs(same) < 1e-9 and abs(small) < 1e-9 and 0 < other < 0.5
+    tree = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else None) for i in range(40)], "cat string, parent string")
+    assert label_tree.closure(tree).count() == 40 * 39 // 2
+    chain = [(f"k{i:03d}", f"k{i + 1:03d}") for i in range(130)]
+    got = grouping.connected_groups(spark.createDataFrame(chain, "i string, j string"))
+    assert {r["group_ref"] for r in got.collect()} == {"k000"}
+    word = "x" * 30 + "o"
+    acc = stemmer.accented(spark.createDataFrame([(word,), ("",)], "token string"), spark.createDataFrame([("x" * 30 + "ó",)], "word string"))
+    assert {r["token"]: r["lemma"] for r in acc.collect()} == {word: "x" * 30 + "ó", "": ""}
+
+
+def test_running_sums(spark):
+    from textilla.operators.ranking import running_sums
+
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), i, rng.randrange(9)) for i in range(500)]
+    got = {(r["g"], r["i"]): (r["run_v"], r["all_v"]) for r in running_sums(spark.createDataFrame(rows, "g string, i int, v int"), ["g"], [F.col("i").desc()], ["v"]).collect()}
+    for g, i, _ in rows:
+        own = [v for h, j, v in rows if h == g]
+        assert got[g, i] == (sum(v for h, j, v in rows if h == g and j >= i), sum(own))
+    assert running_sums(spark.createDataFrame([], "i int, v int"), [], [F.col("i").asc()], ["v"]).count() == 0
+
+
+def test_near(spark):
+    """Blocks, batches and ties give what a full comparison gives; null vectors are nobody's neighbours."""
+    from textilla.operators import embed
+
+    rng = random.Random(4)
+    vec = {i: [float(rng.randrange(4)), float(rng.randrange(4))] for i in range(300)}
+    rows = spark.createDataFrame([(i, v) for i, v in vec.items()] + [(999, None)], "id bigint, v array<double>").repartition(5)
+    ask = rows.filter("id % 30 = 0")
+    d = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    got = {}
+    for r in embed.nearest_of_each(ask, rows, "id", "v", 7).orderBy("q", "rank").collect():
+        got.setdefault(r["q"], []).append(r["id"])
+    assert got == {q: [i for _, i in sorted((d(vec[q], v), i) for i, v in vec.items() if i != q)[:7]] for q in vec if q % 30 == 0}
+    assert embed.nearest_of_each(ask.limit(0), rows, "id", "v", 7).count() == 0
+
+
+def test_shapes(spark):
+    """Each shape has its own prefix; shapes that are not listed are not compared."""
+    from textilla.operators import grouping
+
+    t = "lorem ipsum dolor sit amet " * 3
+    rows = [("AAAA2011-00001", t), ("AAAA2011-00002", t), ("AAAA2012-00003", t), ("AAA2011-00001-E", t), ("AAA2011-00002-E", t), ("AAA2011-00001-P", t), ("AAA2011-00002-P", t)]
+    got = {(r["i"], r["j"]) for r in grouping.candidate_pairs(spark.createDataFrame(rows, "ref string, text string"), "ref", "text").collect()}
+    assert {tuple(sorted(p)) for p in got} == {("AAAA2011-00001", "AAAA2011-00002"), ("AAA2011-00001-E", "AAA2011-00002-E")}
+
+
+def test_jdbc(spark):
+    """S1 on the database that comes with Spark."""
+    from textilla.sources import store
+
+    url, driver = "jdbc:derby:memory:textilla;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    spark.range(5).withColumnRenamed("id", "K").write.jdbc(url, "T1", properties={"driver": driver})
+    assert store.open_jdbc(spark, url, "T1", driver).agg(F.sum("K")).first()[0] == 10
+
+
+def test_cluster_needs_a_folder(monkeypatch):
+    from textilla import session
+
+    class Empty:
+        isEmpty = staticmethod(lambda: True)
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: Empty)}))})
+        getConf = staticmethod(lambda: {})
+
+    spark = type("Session", (), {"sparkContext": Context, "conf": {}})
+    with pytest.raises(RuntimeError):
+        session.shared_dir(spark)
