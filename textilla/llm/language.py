@@ -31,8 +31,9 @@ SAMPLE, STEPS, SPAN, BATCH, HIDDEN, EMBED = 6000, 640, 56, 64, 24, 12
 #: A change of language costs as much as a sentence that speaks clearly against it; a label counts as weak evidence.
 SWITCH, LABEL = 4.0, 1.0
 
-_sentence = re.compile(r"(?<=[.!?…])[\"”»)\]]*\s+|\s*(?:\r?\n|_x000D_)+\s*|\s+(?://|\|)\s+")
-_title = re.compile(r"(?<=[.!?…;])[\"”»)\]]*\s+|\s*(?:\r?\n|_x000D_)+\s*|\s+(?:/{1,2}|\||[-–—])\s+")
+# what any of the alternatives can begin with is looked at first, since at most places none does
+_sentence = re.compile(r"(?=[\s\"”»)\]_])(?:(?<=[.!?…])[\"”»)\]]*\s+|\s*(?:\r?\n|_x000D_)+\s*|\s+(?://|\|)\s+)")
+_title = re.compile(r"(?=[\s\"”»)\]_])(?:(?<=[.!?…;])[\"”»)\]]*\s+|\s*(?:\r?\n|_x000D_)+\s*|\s+(?:/{1,2}|\||[-–—])\s+)")
 _word = re.compile(r"[^\W_]+")
 
 
@@ -62,11 +63,12 @@ def pieces(text: str, joined: bool = False) -> list[str]:
     return out
 
 
+_DIGITS = bytes.maketrans(b"123456789", b"000000000")
+
+
 def encode(text: str) -> np.ndarray:
     """Bytes without case and with all digits alike."""
-    b = np.frombuffer(text.lower().encode(), np.uint8).copy()
-    b[(b >= 48) & (b <= 57)] = 48
-    return b
+    return np.frombuffer(text.lower().encode().translate(_DIGITS), np.uint8)
 
 
 @dataclass
@@ -279,17 +281,16 @@ def sample(df: DataFrame, text: str, label: str, witness: str | None = None, siz
     return tuple(r[0] for r in rows), tuple(r[1] for r in rows)
 
 
-def stretches(scores: np.ndarray, sizes: np.ndarray, label: int | None) -> list[tuple[int, float]]:
-    """(language, confidence) of the stretches of a text from its pieces' summed log-probabilities.
+def said(scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What pieces say for each language: their mean log-probability, at most as loud as 30 steps."""
+    return scores / np.maximum(1, sizes)[:, None] * (np.minimum(sizes, 30) / 3.0)[:, None]
+
 
-    A piece speaks by its mean log-probability, at most as loud as 30 steps; a path over the pieces that pays for
-    each change of language is found by dynamic programming.
+def stretches(say: np.ndarray) -> list[tuple[int, float]]:
+    """(language, confidence) of the stretches of a text from what its pieces say.
+
+    A path over the pieces that pays for each change of language is found by dynamic programming.
     """
-    mean = scores / np.maximum(1, sizes)[:, None]
-    say = mean * (np.minimum(sizes, 30) / 3.0)[:, None]
-    if label is not None:
-        say = say.copy()
-        say[:, label] += LABEL
     best, back = say[0].copy(), []
     for s in say[1:]:
         top = int(best.argmax())
@@ -340,16 +341,29 @@ def identify(df: DataFrame, key: str, text: str, label: str, net: Net, joined: C
                             seqs += [e[x : x + 400] for x in range(0, len(e), 400)]
                         own.append(slot[p])
                     texts.append(own)
-                pooled = net.pool(seqs) if seqs else np.zeros((0, len(LANGS)), np.float32)
-                score = np.array([pooled[p].sum(0) for p in parts]).reshape(-1, len(LANGS))
-                size = np.array([sum((len(seqs[i]) + 1) // 2 for i in p) for p in parts])
                 rows = []
-                for key_, lab, own in zip(b["key"], b["label"], texts):
-                    if not own:
-                        continue
-                    rec = label_of(lab)
-                    got = stretches(score[own], size[own], LANGS.index(rec) if rec else None)
-                    rows += [(key_, i, LANGS[g], c, len(got), rec) for i, (g, c) in enumerate(got, 1)]
+                use = [i for i, own in enumerate(texts) if own]
+                if use:
+                    n = np.array([len(p) for p in parts])
+                    first = np.cumsum(n) - n
+                    score = np.add.reduceat(net.pool(seqs), first, 0)
+                    size = np.add.reduceat(np.array([(len(x) + 1) // 2 for x in seqs]), first)
+                    many = np.array([len(texts[i]) for i in use])
+                    begin = np.cumsum(many) - many
+                    labels = b["label"].tolist()
+                    recs = [label_of(labels[i]) for i in use]
+                    say = said(score, size)[np.concatenate([texts[i] for i in use])]
+                    told = np.repeat([LANGS.index(r) if r else -1 for r in recs], many)
+                    at = np.flatnonzero(told >= 0)
+                    say[at, told[at]] += LABEL
+                    top = say.argmax(1)
+                    alike = np.minimum.reduceat(top, begin) == np.maximum.reduceat(top, begin)  # then no change pays
+                    pooled = np.add.reduceat(say, begin, 0)
+                    sure = 1 / np.exp(np.minimum(pooled - pooled[np.arange(len(use)), top[begin]][:, None], 50.0)).sum(1)
+                    keys = b["key"].tolist()
+                    for k, i in enumerate(use):
+                        got = [(int(top[begin[k]]), float(sure[k]))] if alike[k] else stretches(say[begin[k] : begin[k] + many[k]])
+                        rows += [(keys[i], j, LANGS[g], c, len(got), recs[k]) for j, (g, c) in enumerate(got, 1)]
                 yield pd.DataFrame(rows, columns=["key", "seg", "lang", "confidence", "n_segs", "recorded"])
 
     src = df.select(df[key].cast("string").alias("key"), df[text].cast("string").alias("text"), df[label].cast("string").alias("label"), (F.lit(False) if joined is None else F.coalesce(joined, F.lit(False))).alias("joined")).filter("text IS NOT NULL")
