@@ -20,7 +20,7 @@ BUCKETS, ALPHA, ROUNDS, NONE, LABEL = 1 << 18, 2.0, 4, 3.0, 1.0
 _end = re.compile(r"(?<=[.!?…])[\"”»)\]]*\s+|(?<=[.!?…:])[\"”»)\]]*(?:\r?\n|_x000d_)+|(?:\r?\n|_x000d_){2,}|\s+(?://|\|)\s+")
 _word = re.compile(r"[^\W_]+")
 #: Buckets of a chunk of sums, and how many tasks a core may have in a pass that sums up.
-CHUNK, PER_CORE = 8192, 4
+CHUNK, PER_CORE = 8192, 1
 
 
 def sentences(text: str) -> list[list[str]]:
@@ -232,13 +232,13 @@ def subject_areas(docs: DataFrame, labels: DataFrame, taxonomy: DataFrame, extra
         seeds = seeds.unionByName(extra.select(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("title"), F.col("text").cast("string").alias("text"), own.alias("mask")).filter("mask IS NOT NULL AND text IS NOT NULL"))
     first = cut(units(seeds, 1))
     learn = rows.unionByName(first)
-    base = count(learn, n, None)
+    base = count(learn.filter("mask > 0"), n, None)
     fixed = count(first, n, None)
     counts = base
     for _ in range(ROUNDS):
         counts = count(rows, n, weights(counts)) + fixed
     w = weights(counts)
-    table = calibrate(rows, n, w)
+    table = calibrate(rows.filter("mask > 0"), n, w)
     codes = [a[0] for a in areas]
     width, bins = 0.5, table.shape[1]
     sent = spark.sparkContext.broadcast(w)
