@@ -11,26 +11,30 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
 
-#: Ranks of a public byte-level BPE for many languages; the path is a parameter, the file is not copied.
+#: Default of the parameter ``ranks``: the ranks of a public byte-level BPE for many languages, which every executor
+#: must find at this path. The file is not copied.
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: Fixed value: the public pattern that splits text before the merges of byte-level BPE.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Sources of which the plan is sent to every task at most.
+FEW_SOURCES = 50_000
 
 
 @functools.lru_cache(2)
-def _encoder(path: str):
-    import public_tokenizers
+def _encoder(path: str, pattern: str):
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("mix", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("mix", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(df: DataFrame, columns: list[str], text: str, ranks: str = RANKS) -> DataFrame:
-    """``columns`` and n_tokens of the whole ``text``; null and empty texts have none. Texts are encoded batch by batch."""
+def count_tokens(df: DataFrame, columns: list[str], text: str, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
+    """``columns`` and n_tokens of the whole ``text`` under a rank file and its splitting pattern; null and empty texts have none. Texts are encoded batch by batch."""
     src = df.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _encoder(ranks)
+        enc = _encoder(ranks, pattern)
         for b in batches:
             # lone surrogates can't occur in Spark strings, so that every text can be encoded
             b["n_tokens"] = [len(x) for x in enc.encode_ordinary_batch(b.pop("_text").tolist(), num_threads=1)]
@@ -69,7 +73,7 @@ def _all():
     return Window.partitionBy(F.lit(0))
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 1, total_tokens: int | None = None, ranks: str = RANKS) -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 1, total_tokens: int | None = None, ranks: str = RANKS, pattern: str = PATTERN) -> tuple[DataFrame, DataFrame]:
     """(mixture, report).
 
     mixture: (doc_id, source, copy_no, n_tokens), each document floor(rate) times and once more where a draw
@@ -81,11 +85,12 @@ def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text:
     Tokens are aggregated before they are shuffled, a source with a third of all rows costs no task more.
     """
     src = docs.select(docs[key].alias("doc_id"), F.lower(F.trim(F.coalesce(docs["source"], F.lit("")))).alias("source"), docs[text].alias("text"))
-    sized = cut(count_tokens(src, ["doc_id", "source"], "text", ranks))
+    sized = cut(count_tokens(src, ["doc_id", "source"], "text", ranks, pattern))
     plan = cut(plan_mix(sized, targets, total_tokens))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    # one row per source name: the plan's size is bound by the number of sources, not of documents
-    drawn = sized.join(plan.select("source", "rate"), "source").withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
+    # one row per source name: sent to the documents where that is small, so that a source with a third of them is no hot key
+    rates = plan.select("source", "rate")
+    drawn = sized.join(F.broadcast(rates) if rates.count() <= FEW_SOURCES else rates, "source").withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
     mixture = drawn.filter("copies > 0").select("doc_id", "source", F.explode(F.sequence(F.lit(1), "copies")).alias("copy_no"), "n_tokens")
     got = drawn.groupBy("source").agg(F.sum("copies").alias("docs_out"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens_out"), F.max("copies").alias("most_copies"))
     share = F.try_divide(F.col("tokens_out").cast("double"), F.sum("tokens_out").over(_all()))
