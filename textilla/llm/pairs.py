@@ -19,6 +19,8 @@ SIG = [f"s{i}" for i in range(LANES)]
 #: Shingles that a task counts, on average; frequencies from which all count as equally common; members of a block;
 #: numbers that are sent to every task at most, of which 16 MB make a table.
 PER_TASK, COMMON, BLOCK, SENT = 2_000_000, 4096, 1024, 500_000
+#: Pairs that a task makes at a time; blocks of the rows of a common token.
+PAIRS, CELLS = 1_000_000, 8
 
 
 def met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -207,6 +209,127 @@ def ranked(classes: DataFrame, shingles: Callable[[pd.DataFrame], list[np.ndarra
     return by_hash.mapInPandas(count, _PACK).repartition(parts, "slot").mapInPandas(order, schema)
 
 
+_TOKENS = "slot int, id binary, n binary, flag binary, sig binary, size binary, h binary"
+
+
+def meet(tokens: DataFrame, share: float, among: np.ndarray | None = None) -> DataFrame:
+    """(a, b), a < b: every two rows that share a token, unless sizes or sketches prove that they can't match; one of them asks.
+
+    tokens (id, n, tokens array, hot, asks boolean, s0.. or nulls): the last ``hot`` of a row's tokens are common.
+    Rows travel in arrays by token, with their sketch once for each partition. In a partition the rows of a token
+    stand by size, so that those that can match are a range; pairs are made range by range, ``PAIRS`` at a time,
+    and filtered before the next ones are made: no task holds all pairs of a token. The rows of a common token are
+    cut into ``CELLS`` blocks, and each two blocks meet in a cell of their own, which spreads its work over tasks.
+    ``among`` are the tokens of the rows that ask, sorted, where they are few: no others travel.
+    """
+    spark = tokens.sparkSession
+    total = tokens.agg(F.coalesce(F.sum(F.size("tokens") + F.col("hot") * (CELLS - 1)), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_TASK))
+    slots = _slots(tokens, parts)
+    sent = spark.sparkContext.broadcast(among)
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            return x ^ (x >> np.uint64(31))
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        few = sent.value
+        for whole in batches:
+            for lo in range(0, len(whole), 2000):
+                b = whole.iloc[lo : lo + 2000]
+                size = np.array([len(x) for x in b["tokens"]])
+                if not size.sum():
+                    continue
+                h, owner = np.concatenate(list(b["tokens"])).astype(np.int64), np.repeat(np.arange(len(b)), size)
+                common = np.concatenate([np.arange(k, 0, -1) for k in size]) <= b["hot"].to_numpy()[owner]
+                if few is not None and len(few):
+                    use = few[np.minimum(np.searchsorted(few, h), len(few) - 1)] == h
+                    h, owner, common = h[use], owner[use], common[use]
+                ids = b["id"].to_numpy(np.int64)
+                if common.any():
+                    block = (mixed(ids.view(np.uint64)) % np.uint64(CELLS)).astype(np.int64)[owner[common]].repeat(CELLS)
+                    other = np.tile(np.arange(CELLS), common.sum())
+                    cell = (np.minimum(block, other) * CELLS + np.maximum(block, other) + 1).astype(np.uint64)
+                    with np.errstate(over="ignore"):
+                        split = mixed(h[common].view(np.uint64).repeat(CELLS) + cell * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                    h, owner = np.r_[h[~common], split], np.r_[owner[~common], owner[common].repeat(CELLS)]
+                at = (mixed(h.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                order = np.lexsort((owner, at))
+                at, owner, h = at[order], owner[order], h[order]
+                start, length = _runs(at * len(b) + owner)
+                own, where = owner[start], at[start]
+                sig = np.stack([b[c].to_numpy(np.int64) for c in SIG], 1)
+                n, flag = b["n"].to_numpy(np.int32), b["asks"].to_numpy(bool).astype(np.int8) | b["known"].to_numpy(bool).astype(np.int8) << 1
+                edge = np.r_[np.flatnonzero(np.r_[True, where[1:] != where[:-1]]), len(where)] if len(where) else np.zeros(1, np.int64)
+                ends, length = np.r_[0, np.cumsum(length)], length.astype(np.int32)
+                rows = [(int(slots[where[a]]), ids[own[a:z]].tobytes(), n[own[a:z]].tobytes(), flag[own[a:z]].tobytes(), sig[own[a:z]].tobytes(), length[a:z].tobytes(), h[ends[a] : ends[z]].tobytes()) for a, z in zip(edge[:-1], edge[1:])]
+                yield pd.DataFrame(rows, columns=["slot", "id", "n", "flag", "sig", "size", "h"])
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = [[np.frombuffer(b"".join(b[c]), t) for c, t in (("id", np.int64), ("n", np.int32), ("flag", np.int8), ("sig", np.uint64), ("size", np.int32), ("h", np.int64))] for b in batches]
+        if not got:
+            return
+        ids, n, flag, sig, size, h = (np.concatenate(x) for x in zip(*got))
+        n, sig, asks, known = n.astype(np.int64), sig.reshape(-1, LANES), (flag & 1) > 0, (flag & 2) > 0
+        owner = np.repeat(np.arange(len(ids)), size)
+        order = np.lexsort((n[owner], h))
+        h, owner = h[order], owner[order]
+        start, length = _runs(h)
+        use = np.repeat((length > 1) & np.logical_or.reduceat(asks[owner], start), length) if len(h) else np.zeros(0, bool)
+        h, owner = h[use], owner[use]
+        start, length = _runs(h)
+        group = np.repeat(np.arange(len(start)), length)
+        wide = int(n.max()) + 1
+        key = group * wide + n[owner]
+        most = np.minimum(np.floor((n[owner] + 1e-9) / share), wide - 1).astype(np.int64)
+        ends = np.searchsorted(key, group * wide + most, "right")
+        done = np.zeros(0, np.int64)
+        lanes = [np.ascontiguousarray(sig[:, x : x + 4]) for x in range(0, LANES, 4)]
+        every = bool(asks.all())
+        # with few that ask, those alone look for others, smaller ones too
+        seek = np.arange(len(owner)) if every else np.flatnonzero(asks[owner])
+        low = seek + 1 if every else np.searchsorted(key, (group * wide)[seek] + np.ceil(n[owner[seek]] * share - 1e-9).astype(np.int64))
+        for i, j in _ranges(low, ends[seek] - low):
+            i = seek[i]
+            if not every:
+                new = (j > i) | ~asks[owner[j]]
+                i, j = i[new], j[new]
+            a, b = owner[np.minimum(i, j)], owner[np.maximum(i, j)]
+            need = np.ceil(n[b] * share - 1e-9).astype(np.int64)  # b is the larger one
+            both = known[a] & known[b]
+            room = np.where(both, n[a] + n[b] - 2 * need, LANES * 64)
+            for lane in lanes:  # most pairs differ by too much within the first ones
+                room -= np.bitwise_count(lane.take(a, 0) ^ lane.take(b, 0)).sum(1, dtype=np.int64) * both
+                stay = np.flatnonzero(room >= 0)
+                a, b, room, both = a[stay], b[stay], room[stay], both[stay]
+            key = np.setdiff1d(np.minimum(a, b) * len(ids) + np.maximum(a, b), done)
+            if len(key):
+                done = np.union1d(done, key)
+                x, y = ids[key // len(ids)], ids[key % len(ids)]
+                yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    known = F.col(SIG[0]).isNotNull().alias("known")  # a null would make floats of a batch's sketches
+    sent_rows = tokens.select("id", "n", "tokens", "hot", "asks", known, *(F.coalesce(s, F.lit(0)).alias(s) for s in SIG)).mapInPandas(spread, _TOKENS).repartition(parts, "slot")
+    return sent_rows.mapInPandas(pairs, "a bigint, b bigint").distinct()
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) for the places i and the ``count[i]`` places j from ``first[i]`` on, about ``PAIRS`` of them at a time."""
+    total = np.cumsum(count)
+    at = 0
+    while at < len(count):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
+        i = np.arange(at, end)
+        if end == at + 1 and count[at] > PAIRS:
+            for lo in range(0, int(count[at]), PAIRS):
+                j = np.arange(first[at] + lo, first[at] + min(int(count[at]), lo + PAIRS))
+                yield np.full(len(j), at), j
+        else:
+            yield np.repeat(i, count[i]), take(first[i], count[i])
+        at = end
+
+
 def only(table: DataFrame, ids: DataFrame, on: str = "cls") -> DataFrame:
     """The rows of ``table`` whose number is among ``ids``: sent to the table if they are few, else met by a merge join."""
     if ids.count() <= SENT:
