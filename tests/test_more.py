@@ -71,11 +71,14 @@ def test_models(spark):
 
     rows = [(i, Vectors.dense([float(i % 2), 1.0]), float(i % 2)) for i in range(40)]
     df = models.balanced(spark.createDataFrame(rows, ["k", "features", "label"]))
-    for name, kind, params in [models.grid(["LR"])[10], models.grid(["LSVM"])[8], models.grid(["DT"])[0], models.grid(["RF"])[1], models.grid(["MNB"])[2]]:
+    for name, kind, params in [models.grid(["LR"])[10], models.grid(["LSVM"])[8], models.grid(["DT"])[0], models.grid(["RF"])[1], models.grid(["MNB"])[2], models.grid(["AB"])[1]]:
         out = models.predict(models.estimator(kind, params, 40).fit(df), df)
         assert out.filter("abs(score) > 1").count() == 0 and out.filter("(score > 0) = (label = 1)").count() >= 38, name
     with pytest.raises(ValueError):
-        models.estimator("AB", {}, 1)
+        models.estimator("SVMpoly", {}, 1)
+    labels = df.select("k", F.lit("c").alias("cat"), (2 * F.col("label") - 1).alias("y"))
+    out = models.cross_validate(df.select("k", "features"), labels, "k", [models.grid(["KNN"])[1], models.grid(["MLP"])[0]], 3)
+    assert out.count() == 80 and out.filter("model_name = 'KNNN5' AND (score > 0) = (y = 1)").count() == 40
 
 
 def test_updates(spark):

@@ -67,12 +67,12 @@ def closest(words: DataFrame, key: str, vec: str, word: object, m: int) -> DataF
 SENT, CELLS = 4096, 1 << 22
 
 
-def _blocks(df: DataFrame) -> Iterator[list]:
-    """The rows of a stated set, ``SENT`` at a time: the driver holds one block, whatever the set's size."""
+def _blocks(df: DataFrame, most: int = SENT) -> Iterator[list]:
+    """The rows of a stated set, ``most`` at a time: the driver holds one block, whatever the set's size."""
     rows = []
     for r in df.toLocalIterator():
         rows.append(r)
-        if len(rows) == SENT:
+        if len(rows) == most:
             yield rows
             rows = []
     if rows:
@@ -106,7 +106,7 @@ def near(queries: DataFrame, rows: DataFrame, key: str, vec: str, m: int, carry:
 
     def scan(batches: Iterator[pd.DataFrame], sent) -> Iterator[pd.DataFrame]:
         ids, q = sent.value
-        for b in batches:
+        for b in (whole.iloc[lo : lo + most] for whole in batches for lo in range(0, len(whole), most)):
             keys = b[key].to_numpy()
             for at, d in _distances(np.stack(b[vec].to_numpy()).astype(np.float64), q):
                 if other:
@@ -116,7 +116,8 @@ def near(queries: DataFrame, rows: DataFrame, key: str, vec: str, m: int, carry:
                 yield pd.DataFrame({"q": ids[at][j]} | {c: b[c].to_numpy()[i] for c in (key, *carry)} | {"d2": d[i, j]})
 
     parts = []
-    for block in _blocks(queries.select(key, vec).filter(F.col(vec).isNotNull())):
+    most = max(1, min(SENT, 4 * CELLS // max(1, queries.agg(F.max(F.size(vec))).first()[0] or 1)))
+    for block in _blocks(queries.select(key, vec).filter(F.col(vec).isNotNull()), most):
         sent = sc.broadcast((np.array([r[0] for r in block]), np.array([r[1] for r in block], dtype=np.float64)))
         parts.append(src.mapInPandas(lambda batches, sent=sent: scan(batches, sent), schema))
     found = _union(parts, rows.sparkSession.createDataFrame([], schema))
