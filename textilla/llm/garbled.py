@@ -41,6 +41,7 @@ _LOST, WILD = "\ufffd", "\ue000"
 _word = re.compile(r"[^\W\d_]+")
 _reading_word = re.compile(f"[^\\W\\d_{WILD}]*(?:{WILD}[^\\W\\d_{WILD}]*)*")
 _wild_word = re.compile(r"[^\W\d_?�]*(?:[?�]+[^\W\d_]*)+")
+_behind = re.compile(r"(?<=[^\W\d_])[·±×½¼¾§¿¡]")
 _opening = re.compile(r"[^\w?�]*[?�](?=[^\W\d_a-zà-ÿ](?:[a-zà-ÿ]|[?�][a-zà-ÿ]))")
 
 
@@ -155,6 +156,8 @@ def _cased(word: str) -> bool:
 def oddness(token: str) -> float:
     """How unlikely a token is to be meant as it stands, by its characters alone."""
     odd = sum(6.0 if not c.isalpha() else 2.0 for c in token if ord(c) > 127 and c not in USUAL)
+    # signs that don't follow a letter, but for the one between two l's
+    odd += 2.0 * sum(1 for m in _behind.finditer(token) if token[m.start() - 1 : m.end() + 1].lower() != "l·l")
     for w in _word.findall(token):
         if any(ord(c) > 127 for c in w) and not _cased(w):
             odd += 6.0
@@ -223,6 +226,8 @@ def _readings(batches: Iterator[pd.DataFrame], model: np.ndarray | None) -> Iter
             sure = _LOST in token or bool(wild(token) and re.search(r"\?[^\W\d_]", token))
             for k, (channel, reading, cost) in enumerate(candidates(token, model)):
                 found = [reading[s:e].lower() for s, e in _words(reading)] or [""]
+                if channel and found == [""] and not _word.search(token):
+                    continue  # one sign for another is no reading
                 rows += [(token, k, channel, reading, cost, sure and (WILD in reading or bool(channel)), i, mask(w) if WILD in w else w) for i, w in enumerate(found)]
             if _LOST in token and not any(r[0] == token and r[2] for r in rows[-200:]):
                 rows.append((token, 99, "lost> ", token.replace(_LOST, WILD), BARE, True, 0, ""))
@@ -317,7 +322,8 @@ def damaged_tokens(tokens: DataFrame) -> DataFrame:
     rated = met(suspects.repartition(spread, "token").mapInPandas(lambda b: _readings(b, model.value), kinds), known, "word", "left")
     often = F.coalesce("f", F.lit(0))
     rated = rated.groupBy("token", "cand", "channel", "reading", "cost", "sure").agg(
-        F.sum(F.when(F.col("word") == "", 0.0).otherwise(F.log(often / total + FLOOR))).alias("ll"),
+        # usual signs without a letter are as good as a known word
+        F.sum(F.when((F.col("word") == "") & (F.col("cand") == 0) & (F.col("cost") == 0), 0.0).otherwise(F.log(often / total + FLOOR))).alias("ll"),
         F.min(often).alias("least"),
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "best"))), lambda x: x["best"]).alias("words"),
     )
