@@ -472,7 +472,7 @@ def test_unify_recall(spark, data):
     """Each kind of odd character put into sound documents makes them cases, and no others."""
     base = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
     odd = {r["doc_id"] for r in unify_text(base).filter("odd OR n_repaired + n_unknown > 0").collect()}
-    change = [lambda t: t.replace("a", "а", 1), lambda t: t.replace(" ", " ", 1), lambda t: t[:20] + "​" + t[20:], lambda t: t.replace("e", "ｅ", 1), lambda t: t + " ﬁn", lambda t: t + " é", lambda t: t + " no‑va"]
+    change = [lambda t: t.replace("a", "а", 1), lambda t: t.replace(" ", " ", 1), lambda t: t[:20] + "​" + t[20:], lambda t: t.replace("e", "ｅ", 1), lambda t: t + " ﬁn", lambda t: t + " é", lambda t: t + " no‑va"]
     rows, want = [], set()
     for i, r in enumerate(sorted(base.collect(), key=lambda r: r["doc_id"])):
         t = r["text"]

@@ -322,8 +322,8 @@ def damaged_tokens(tokens: DataFrame) -> DataFrame:
     rated = met(suspects.repartition(spread, "token").mapInPandas(lambda b: _readings(b, model.value), kinds), known, "word", "left")
     often = F.coalesce("f", F.lit(0))
     rated = rated.groupBy("token", "cand", "channel", "reading", "cost", "sure").agg(
-        # usual signs without a letter are as good as a known word
-        F.sum(F.when((F.col("word") == "") & (F.col("cand") == 0) & (F.col("cost") == 0), 0.0).otherwise(F.log(often / total + FLOOR))).alias("ll"),
+        # usual signs without a letter are as good as a known word, as they stand or as a sequence of UTF-8 that shows nothing else
+        F.sum(F.when((F.col("word") == "") & (((F.col("cand") == 0) & (F.col("cost") == 0)) | (F.startswith("channel", F.lit("utf-8")) & (F.col("cost") < 4))), 0.0).otherwise(F.log(often / total + FLOOR))).alias("ll"),
         F.min(often).alias("least"),
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "best"))), lambda x: x["best"]).alias("words"),
     )
@@ -336,6 +336,28 @@ def damaged_tokens(tokens: DataFrame) -> DataFrame:
     return damaged.select("token", "x.channel", "x.reading", "x.words").mapInPandas(_rebuild, "token string, restored string, whole boolean, channel string")
 
 
+def _carried(tokens: list[str], fix: dict[str, tuple[str, str]]) -> dict[str, str]:
+    """What stands for each damaged token of a field, and for the tokens between them that its channel reads, too.
+
+    Where a stretch was garbled as a whole, a token that might be a word as it stands comes through the same channel:
+    if nearly all tokens beyond ASCII from the first damaged one to the last are restored by one channel, so are the rest.
+    """
+    out = {k: v[0] for k, v in fix.items()}
+    at = [i for i, t in enumerate(tokens) if t in fix]
+    channels = {fix[tokens[i]][1] for i in at}
+    if len(channels) != 1 or len(at) < 3:
+        return out
+    right, _, wrong = next(iter(channels)).strip().partition(">")
+    others = {t for t in tokens[at[0] : at[-1] + 1] if t not in fix and not t.isascii()}
+    if not wrong or " " in wrong or 3 * len(others) > len(at):
+        return out
+    for t in others:
+        got = decode(t, right, wrong)
+        if got and got[0] == 0 and _word.search(got[1]) and oddness(got[1]) == 0:
+            out[t] = _case_like(got[1], t)
+    return out
+
+
 def repair_fields(texts: DataFrame) -> DataFrame:
     """(tbl, rec_key, fld, text, restored, whole) of every damaged field of ``texts`` (tbl, rec_key, fld, text).
 
@@ -348,12 +370,12 @@ def repair_fields(texts: DataFrame) -> DataFrame:
     tokens = cut(noted.groupBy("token").agg(F.sum("n").alias("n")))
     damaged = cut(damaged_tokens(tokens))
     hits = met(noted.filter(F.size("rids") > 0).select("token", F.explode("rids").alias("rid")).distinct(), damaged, "token")
-    fixes = cut(hits.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("token", "restored"))).alias("fix"), F.min("whole").alias("whole")))
+    fixes = cut(hits.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("token", F.struct("restored", "channel")))).alias("fix"), F.min("whole").alias("whole")))
 
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cell = re.compile(r"[^ \t\r\n]+")
         for b in batches:
-            fixed = [dict(f) for f in b.pop("fix")]
+            fixed = [_carried(cell.findall(t), {k: tuple(v.values()) if isinstance(v, dict) else tuple(v) for k, v in dict(f).items()}) for t, f in zip(b["text"], b.pop("fix"))]
             b["restored"] = [cell.sub(lambda m, f=f: f.get(m.group(), m.group()), t) for t, f in zip(b["text"], fixed)]
             yield b[["tbl", "rec_key", "fld", "text", "restored", "whole"]]
 

@@ -322,8 +322,8 @@ def identify(df: DataFrame, key: str, text: str, label: str, net: Net, joined: C
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
-            for lo in range(0, len(whole), 2000):
-                b = whole.iloc[lo : lo + 2000]
+            for lo in range(0, len(whole), 5000):  # what recurs within a part is read once
+                b = whole.iloc[lo : lo + 5000]
                 slot: dict[str, int] = {}
                 seqs: list[np.ndarray] = []
                 parts: list[list[int]] = []
