@@ -370,9 +370,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def groups(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """(key, grp): members of one component, or of one class with several members, share a group."""
+    """(key, grp, cls): members of one component, or of one class with several members, share a group."""
     root = components(edges).select(F.col("node").alias("cls"), "root")
-    return met(members, root, "cls", "left").select("key", F.coalesce("root", "cls").alias("grp"))
+    return met(members, root, "cls", "left").select("key", F.coalesce("root", "cls").alias("grp"), "cls")
 
 
 def blocked(left: DataFrame, right: DataFrame) -> DataFrame:

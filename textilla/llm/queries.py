@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.registry import Registry
-from ..session import table
+from ..session import cut, table
 from . import language
 from .garbled import repair_fields
 from .leaks import leaks
 from .mixing import mix_sources
 from .near_dup import near_duplicates
-from .pairs import group_pairs
+from .pairs import group_pairs, met
 from .split_overlap import across_splits, held_out_keys, overlaps
 from .subject import subject_areas
 from .terms import term_frequencies
@@ -81,10 +81,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("p1_groups")
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per project with an abstract of 20 words: its group, and the group's number of projects."""
-    grouped, _ = near_duplicates(table(spark, sf_dir, "proyectos"), "referencia", "resumen")
+    """One row per project with an abstract of 20 words: its group and the group's number of projects, its class of equal abstracts and the class's number of links to others."""
+    grouped, links = near_duplicates(table(spark, sf_dir, "proyectos"), "referencia", "resumen")
+    grouped = cut(grouped)
     sizes = grouped.groupBy("grp").agg(F.min("key").alias("first_ref"), F.count("*").alias("n_members"))
-    return grouped.join(sizes, "grp").select(F.col("key").alias("referencia"), "first_ref", "n_members")
+    heads = grouped.groupBy("cls").agg(F.min("key").alias("class_ref"))
+    linked = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
+    rows = met(met(met(grouped, sizes, "grp"), heads, "cls"), linked, "cls", "left")
+    return rows.select(F.col("key").alias("referencia"), "first_ref", "n_members", "class_ref", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 @add("p7_found")
