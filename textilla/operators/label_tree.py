@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import sent
+
 YES, NO, UNKNOWN, ERROR = 1, -1, 0, -99
 
 
@@ -50,14 +52,14 @@ def infer(labels: DataFrame, tree: DataFrame, single: bool = False) -> DataFrame
 
     An error, a category both yes and no, or nothing but no, makes all of a key's labels unknown.
     """
-    up = F.broadcast(closure(tree))
+    up = sent(closure(tree))
     yes, no = labels.filter("y > 0"), labels.filter(F.col("y") == NO)
     told = labels.filter("y != 0").unionByName(yes.join(up, "cat").select("key", F.col("anc").alias("cat"), F.lit(YES).alias("y"))).unionByName(no.join(up.select(F.col("cat").alias("sub"), F.col("anc").alias("cat")), "cat").select("key", F.col("sub").alias("cat"), F.lit(NO).alias("y")))
     if single:
         t = tree.select("cat", "parent")
         sib = t.alias("a").join(t.alias("b"), F.col("a.parent").eqNullSafe(F.col("b.parent")) & (F.col("a.cat") != F.col("b.cat"))).select(F.col("a.cat").alias("cat"), F.col("b.cat").alias("sib"))
         every = yes.unionByName(told.filter("y > 0")).select("key", "cat").distinct()
-        told = told.unionByName(every.join(F.broadcast(sib), "cat").select("key", F.col("sib").alias("cat"), F.lit(NO).alias("y")))
+        told = told.unionByName(every.join(sent(sib), "cat").select("key", F.col("sib").alias("cat"), F.lit(NO).alias("y")))
     cell = told.groupBy("key", "cat").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
     full = _grid(labels.select("key").distinct(), tree).join(cell, ["key", "cat"], "left")
     w = Window.partitionBy("key")
@@ -96,10 +98,10 @@ def transfer_labels(info: DataFrame, new_info: DataFrame, old: DataFrame, new: D
 
 def rank_labels(lists: DataFrame, tree: DataFrame) -> DataFrame:
     """(key, cat, y, labelstr) of ordered lists (key, labels): the listed categories' places, yes for ancestors, no for the rest; unknown names are left out."""
-    known = lists.select("key", F.posexplode(F.array_distinct("labels")).alias("pos", "cat")).join(F.broadcast(tree.select("cat")), "cat")
+    known = lists.select("key", F.posexplode(F.array_distinct("labels")).alias("pos", "cat")).join(sent(tree.select("cat")), "cat")
     w = Window.partitionBy("key").orderBy("pos")
     placed = known.withColumn("r", F.row_number().over(w))
-    up = placed.join(F.broadcast(closure(tree)), "cat").select("key", F.col("anc").alias("cat"), F.lit(YES).alias("r"))
+    up = placed.join(sent(closure(tree)), "cat").select("key", F.col("anc").alias("cat"), F.lit(YES).alias("r"))
     best = placed.select("key", "cat", "r", F.lit(0).alias("o")).unionByName(up.select("key", "cat", "r", F.lit(1).alias("o"))).groupBy("key", "cat").agg(F.min_by("r", "o").alias("r"))
     text = placed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "cat"))).alias("x")).select("key", F.array_join("x.cat", "++").alias("labelstr"))
     return _grid(lists.select("key").distinct(), tree).join(best, ["key", "cat"], "left").join(text, "key", "left").select("key", "cat", F.coalesce("r", F.lit(NO)).cast("int").alias("y"), F.coalesce("labelstr", F.lit("")).alias("labelstr"))

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import sent
 from .ranking import running_sums
 
 
@@ -40,7 +41,7 @@ def best_threshold(curve: DataFrame, cat: str = "cat") -> DataFrame:
 
 def first_tag(df: DataFrame, labels: str, categories: DataFrame, cat: str = "reference") -> DataFrame:
     """A row per category with y = 1 if the first label is it, else -1; categories are a small fixed table."""
-    return df.crossJoin(F.broadcast(categories.select(F.col(cat).alias("cat")))).withColumn("y", F.when(F.coalesce(F.get(labels, F.lit(0)) == F.col("cat"), F.lit(False)), 1).otherwise(-1))
+    return df.crossJoin(sent(categories.select(F.col(cat).alias("cat")))).withColumn("y", F.when(F.coalesce(F.get(labels, F.lit(0)) == F.col("cat"), F.lit(False)), 1).otherwise(-1))
 
 
 def weighted_curve(df: DataFrame, pred: str, label: str, weight: Column | None = None) -> DataFrame:

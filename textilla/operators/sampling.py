@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import sent
 from .ranking import global_rank
 
 
@@ -65,7 +66,7 @@ def queries(df: DataFrame, key: str, pred: str, label: str, count: int, relabel:
         if number:
             ranked = global_rank(pool, [F.col("al_score").asc(), F.col(key).asc()])
             picks = df.sparkSession.createDataFrame(draw_ranks(pool.count(), number, p_al, players, seed + flag) or [(-1, 0)], "rank bigint, marker int")
-            parts.append(ranked.drop("marker", "relabel").join(F.broadcast(picks), "rank").withColumn("relabel", F.lit(flag)))  # as many rows as are asked for
+            parts.append(ranked.drop("marker", "relabel").join(sent(picks), "rank").withColumn("relabel", F.lit(flag)))  # as many rows as are asked for
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

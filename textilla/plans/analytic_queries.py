@@ -8,7 +8,7 @@ from ..functions import stemmer, tfidf
 from ..functions import text as tx
 from ..operators import decide, embed, grouping, label_tree, metrics, models, sampling, split
 from ..operators.ranking import global_rank
-from ..session import cut, table
+from ..session import cut, sent, table
 from .registry import Registry
 
 add = Registry()
@@ -45,6 +45,12 @@ def t9w(spark, d):
     return tfidf.tfidf(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "term", R6("w").alias("w"))
 
 
+@add("t9_index", f"WITH {_TF}, {_IDF} SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM v")
+def t9i(spark, d):
+    docs = table(spark, d, "documents")
+    return tfidf.index(tfidf.fit(tfidf.term_counts(docs, "doc_id", "text"), docs.count()))
+
+
 _DEF = f"dc AS (SELECT reference, term, count(*) AS tf FROM (SELECT reference, unnest(regexp_extract_all(lower(definition), '{tx.WORD}')) AS term FROM taxonomy WHERE definition IS NOT NULL) GROUP BY 1, 2), dv AS (SELECT term, ln((1.0 + (SELECT count(*) FROM taxonomy WHERE definition IS NOT NULL)) / (1 + count(*))) + 1 AS idf FROM dc GROUP BY 1 HAVING count(*) >= 1), dw AS (SELECT reference, term, tf * idf AS w FROM dc JOIN dv USING (term)), dn AS (SELECT reference, sqrt(sum(w * w)) AS norm FROM dw GROUP BY 1), wt AS (SELECT reference, term, w / norm AS w FROM dw JOIN dn USING (reference))"
 
 
@@ -612,7 +618,7 @@ def _validated(spark: SparkSession, d: str) -> DataFrame:
     docs = p.join(lab.select("referencia").distinct(), "referencia", "left_semi")
     vec = cut(models.features(tfidf.tfidf(docs, "referencia", "resumen"), "referencia"))
     cats = table(spark, d, "taxonomy").filter("NOT endswith(reference, '_')").select(F.col("reference").alias("cat")).distinct()
-    y = vec.select("referencia").join(F.broadcast(cats), F.lit(True)).join(lab.distinct().withColumn("hit", F.lit(1)), ["referencia", "cat"], "left").select("referencia", "cat", F.when(F.col("hit") == 1, 1).otherwise(-1).alias("y"))
+    y = vec.select("referencia").join(sent(cats), F.lit(True)).join(lab.distinct().withColumn("hit", F.lit(1)), ["referencia", "cat"], "left").select("referencia", "cat", F.when(F.col("hit") == 1, 1).otherwise(-1).alias("y"))
     grid = models.grid(["LR"])
     scores = cut(models.cross_validate_logistic(vec, y, "referencia", grid))
     return models.evaluate_models(scores, [r["cat"] for r in cats.orderBy("cat").collect()], grid)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,3 +27,8 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder, with its lineage cut there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def sent(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` with the hint to send it to every task if it has ``most`` rows or fewer; else as it is, for a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
