@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import stemmer
 from ..functions import text as tx
-from ..operators import decide, grouping, label_tree, metrics, models, sampling, split
+from ..operators import grouping, label_tree, metrics, models, sampling, split
 from ..session import shared_dir, table
 from ..sources import store
 from .analytic_queries import _BASE, _J, _NORM, _RBO, _T, _TREE, R6, _marks, _scores, _tree, _truth
