@@ -18,7 +18,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
@@ -318,7 +317,7 @@ def damaged_tokens(tokens: DataFrame) -> DataFrame:
     model = tokens.sparkSession.sparkContext.broadcast(letter_model(counts.reshape(size, size, size)).astype(np.float32))
     suspects = tokens.filter(F.col("token").rlike(r"[^\x00-\x7F]|\?\p{L}|\p{L}\?")).select("token")
     kinds = "token string, cand int, channel string, reading string, cost double, sure boolean, pos int, word string"
-    spread = max(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens.rdd.getNumPartitions())
+    spread = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as a number, so that few bytes but long work are not put into one task
     rated = met(suspects.repartition(spread, "token").mapInPandas(lambda b: _readings(b, model.value), kinds), known, "word", "left")
     often = F.coalesce("f", F.lit(0))
     rated = rated.groupBy("token", "cand", "channel", "reading", "cost", "sure").agg(
