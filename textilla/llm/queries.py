@@ -106,9 +106,9 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped, members, links = overlaps(p, "referencia", "resumen", held_out_keys(splits, "referencia"))
     x = across_splits(grouped, splits, "referencia")
     cover = links.select(F.col("a").alias("cls"), F.col("cover_a").alias("c")).unionByName(links.select(F.col("b").alias("cls"), F.col("cover_b").alias("c"))).groupBy("cls").agg(F.max("c").alias("c"))
-    held = members.join(cover, "cls", "left").select("key", F.coalesce("c", F.lit(1.0)).alias("c"))
+    held = met(members, cover, "cls", "left").select(F.col("key").alias("eval_key"), F.coalesce("c", F.lit(1.0)).alias("c"))
     call = p.select(F.col("referencia").alias("eval_key"), "cconv")
-    per = x.groupBy("eval_key", "eval_split").agg(F.count("*").alias("n")).join(held, F.col("eval_key") == F.col("key")).join(call, "eval_key")
+    per = met(met(x.groupBy("eval_key", "eval_split").agg(F.count("*").alias("n")), held, "eval_key"), call, "eval_key")
     return per.groupBy("eval_split", "cconv").agg(F.count("*").alias("n_projects"), F.sum("n").alias("n_pairs"), F.avg("c").alias("mean_cover"))
 
 
@@ -158,4 +158,4 @@ def p6_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Make-up of the corpus: projects per area, each project shared among its areas, and the mean posterior."""
     a = _areas(spark, sf_dir)
     per = a.groupBy("referencia").agg(F.count("*").alias("k"))
-    return a.join(per, "referencia").groupBy("area").agg(F.count("*").alias("n_projects"), F.sum(1 / F.col("k")).alias("weight"), F.avg("posterior").alias("mean_posterior"))
+    return met(a, per, "referencia").groupBy("area").agg(F.count("*").alias("n_projects"), F.sum(1 / F.col("k")).alias("weight"), F.avg("posterior").alias("mean_posterior"))
