@@ -241,3 +241,38 @@ def test_cluster_needs_a_folder(monkeypatch):
     spark = type("Session", (), {"sparkContext": Context, "conf": {}})
     with pytest.raises(RuntimeError):
         session.shared_dir(spark)
+
+
+def test_coordinated_whole(spark):
+    """Texts compared by cells give what all candidate pairs give, equal texts and large blocks included; band and early end lose nothing."""
+    import numpy as np
+
+    from textilla.operators import grouping
+
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdeé ñ𝒳") for _ in range(rng.randrange(30, 700))) for _ in range(12)]
+
+    def edited(t: str, n: int) -> str:
+        x = list(t)
+        for _ in range(n):
+            at = rng.randrange(len(x) + 1)
+            x[at : at + rng.randrange(2)] = rng.choice(["", "z", "qq"])
+        return "".join(x)
+
+    texts = [edited(t, rng.choice([0, 1, 3, 10, 30, 60, 90])) for t in base for _ in range(9)] + ["", "short", "0123456789", "0123456789A"]
+    a, b = np.triu_indices(len(texts), 1)
+    want = np.array([grouping.indel_ratio(texts[i], texts[j], 0.0) for i, j in zip(a, b)])
+    got = grouping.rate(texts, a, b, 0.9)
+    assert (want > 0.9).sum() > 50 and np.array_equal(got, np.where(want > 0.9, want, 0.0))
+
+    rows = [(f"QEX2013-{i:05d}-C{i % 2}-1-R", t) for i, t in enumerate([*texts, *texts[:40], None])] + [(f"QEX2014-{i:05d}-C1-1-R", t) for i, t in enumerate(texts[:20])]
+    rows += [("QEX2013-00001-C1-1-R", texts[5] + "x"), ("other", texts[0])]
+    df = spark.createDataFrame(rows, "ref string, text string")
+    old = sorted(tuple(r) for r in grouping.similar_pairs(grouping.candidate_pairs(df, "ref", "text")).collect())
+    assert len(old) > 100 and sorted(tuple(r) for r in grouping.coordinated_pairs(df, "ref", "text").collect()) == old
+    whole, grouping.CELL = grouping.CELL, 20
+    try:
+        assert sorted(tuple(r) for r in grouping.coordinated_pairs(df, "ref", "text").collect()) == old
+    finally:
+        grouping.CELL = whole
+    assert grouping.coordinated_pairs(df.limit(0), "ref", "text").count() == 0

@@ -119,7 +119,7 @@ def g1(spark, d):
 
 
 def _coordinated(spark: SparkSession, d: str) -> DataFrame:
-    return grouping.similar_pairs(grouping.candidate_pairs(table(spark, d, "proyectos"), "referencia", "resumen"))
+    return grouping.coordinated_pairs(table(spark, d, "proyectos"), "referencia", "resumen")
 
 
 @add("g2_similar_pairs")
