@@ -42,7 +42,7 @@ def indel_ratio(a: str, b: str, least: float = 0.0) -> float:
 
 
 #: Pairs that are rated at a time, columns between two looks at what can still be reached, bytes of a batch's masks.
-PAIRS, LOOK, MASKS = 4096, 128, 1 << 27
+PAIRS, LOOK, MASKS = 8192, 64, 1 << 27
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -115,16 +115,19 @@ def rate(texts: list[str], a: np.ndarray, b: np.ndarray, ratio: float) -> np.nda
     bags = np.zeros((len(texts), 64), np.int32)
     np.add.at(bags, (np.repeat(np.arange(len(texts)), length), code % 64), 1)
     use = np.concatenate([x[np.abs(bags[a[x]] - bags[b[x]]).sum(1) <= most[x]] for x in np.array_split(np.arange(len(a)), len(a) // 65_536 + 1)])
-    use = use[np.lexsort((a[use], total[use]))]
-    per = (kinds + 1) * (int(size.max(initial=0)) // 32 + 8) * 8  # bytes of a text's masks
-    step = max(1, min(PAIRS, MASKS // per))
-    for lo in range(0, len(use), step):
-        x = use[lo : lo + step]
-        if per > MASKS:  # a long text of many signs
-            out[x] = [indel_ratio(texts[i], texts[j], ratio) for i, j in zip(a[x], b[x])]
-            continue
+    use = use[np.lexsort((a[use], size[a[use]]))]  # pairs of one text stand together: their masks stay near
+    per = (kinds + 1) * (int(size.max(initial=0)) // 32 + 8) * 8  # bytes of a text's masks, at most
+    if per > MASKS:  # a long text of many signs
+        out[use] = [indel_ratio(texts[i], texts[j], ratio) for i, j in zip(a[use], b[use])]
+        return np.where(out > ratio, out, 0.0)
+    place = np.cumsum(np.r_[True, a[use][1:] != a[use][:-1]]) if len(use) else use
+    lo = 0
+    while lo < len(use):
+        hi = min(lo + PAIRS, int(np.searchsorted(place, place[lo] + MASKS // per)))
+        x = use[lo:hi]
         common = _common(texts, a[x], b[x], most[x])
         out[x] = np.where(common >= 0, 2 * common / np.maximum(total[x], 1), 0.0)
+        lo = hi
     return np.where(out > ratio, out, 0.0)
 
 
