@@ -276,3 +276,18 @@ def test_coordinated_whole(spark):
     finally:
         grouping.CELL = whole
     assert grouping.coordinated_pairs(df.limit(0), "ref", "text").count() == 0
+
+
+def test_word_vectors_in_parts(spark, monkeypatch):
+    """A corpus of some size is trained by as many tasks as there are cores, and words of one context are still near each other."""
+    rng = random.Random(5)
+    rows = [([f"{kind}{rng.randrange(6)}" for _ in range(12)],) for kind in ("a", "b") for _ in range(400)]
+    df = spark.createDataFrame(rows, "tokens array<string>").repartition(4)
+    trained, parts = models.Word2Vec, []
+    monkeypatch.setattr(models, "Word2Vec", lambda **x: (parts.append(x.get("numPartitions", 1)), trained(**x))[1])
+    models.word_vectors(df, dim=8, epochs=1)
+    monkeypatch.setattr(models, "TRAINED", 2000)
+    got = {r["word"]: r["vector"] for r in models.word_vectors(df, dim=8, epochs=3).collect()}
+    assert parts == [1, 4]
+    near = [w for w in got if max((y for y in got if y != w), key=lambda y: sum(p * q for p, q in zip(got[w], got[y])))[0] == w[0]]
+    assert len(got) == 12 and len(near) >= 10
