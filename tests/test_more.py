@@ -291,3 +291,20 @@ def test_word_vectors_in_parts(spark, monkeypatch):
     assert parts == [1, 4]
     near = [w for w in got if max((y for y in got if y != w), key=lambda y: sum(p * q for p, q in zip(got[w], got[y])))[0] == w[0]]
     assert len(got) == 12 and len(near) >= 10
+
+
+def test_logistic_by_column():
+    """A fit with the matrix ordered by column beforehand, empty rows and columns included, is at its loss's minimum."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    dense = rng.standard_normal((80, 12)) * (rng.random((80, 12)) < 0.3)
+    dense[7], dense[79], dense[:, 4], dense[:, 11] = 0, 0, 0, 0
+    row, idx = np.nonzero(dense)
+    val, y = dense[row, idx], (dense[:, 1] + 0.5 * rng.standard_normal(80) > 0).astype(np.int8)
+    ordered = models.by_column(idx, val, row)
+    v = models.fit_logistic(idx, val, row, 12, y, 0.01, columns=ordered)
+    assert np.array_equal(v, models.fit_logistic(idx, val, row, 12, y, 0.01)) and v[4] == v[11] == 0
+    s, c = np.where(y > 0, 1.0, -1.0), np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y == 0).sum())
+    r = -s * c / (1 + np.exp(s * (dense @ v[:-1] + v[-1])))
+    assert np.abs(np.append(dense.T @ r + 0.01 * v[:-1], r.sum())).max() < 2e-4
