@@ -207,7 +207,8 @@ def coordinated_pairs(df: DataFrame, ref: str, text: str, ratio: float = 0.9, pr
     sides = placed.filter("own").select("id", *part, h.alias("x"), turn.alias("y"), F.lit(0).alias("side")).unionByName(placed.select("id", *part, turn.alias("x"), h.alias("y"), F.when(F.col("own"), 1).otherwise(2).alias("side")))
     cells = sides.groupBy("id", *part, "x", "y").agg(F.sum(F.expr("CASE side WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END")).alias("side"))
     sent = cells.select("id", "side", F.xxhash64(*part, "x", "y").alias("cell")).join(texts.select("id", F.col("n").cast("bigint").alias("n"), F.length("t").cast("bigint").alias("size"), "t"), "id")
-    sent = sent.repartition("cell").sortWithinPartitions("cell", "n")
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), base.count() // CELL + 1)  # stated: a cell's work grows faster than its bytes
+    sent = sent.repartition(parts, "cell").sortWithinPartitions("cell", "n")
 
     def met(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The pairs of a cell whose lengths are near enough, about a million looked at at a time."""
