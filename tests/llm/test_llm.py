@@ -18,7 +18,7 @@ from textilla.llm.pairs import components, group_pairs
 from textilla.llm.split_overlap import across_splits, chain_and_extend, overlaps, winnow
 from textilla.llm.subject import subject_areas
 from textilla.llm.terms import term_frequencies
-from textilla.llm.textnorm import mixed_tokens, plain_characters, words
+from textilla.llm.textnorm import mixed_tokens, plain_characters, word_numbers, words
 from textilla.llm.unify import unify_text
 
 WORDS = [f"palabra{i}" for i in range(400)]
@@ -156,6 +156,50 @@ def test_ranked_common(spark, monkeypatch):
     assert {tuple(r) for r in group_pairs(overlaps(df, "referencia", "resumen")[0]).collect()} == brute_pairs(rows)
 
 
+def test_disk_of_pairs(spark):
+    """What the pair operators leave on disk are numbers of rows, not the shingles of all texts; shuffle files go when a frame is cut."""
+    import tempfile
+    from pathlib import Path
+
+    rows = [(f"r{i:04d}", " ".join(random.Random(i).choices(WORDS, k=200)), 0, "") for i in range(1500)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    # random folders: what other tests left behind stays out of the count
+    size = lambda: {p: p.stat().st_size for d in (spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"),) for p in Path(d).rglob("part-*")}
+    shuffled = lambda: {p for d in Path(tempfile.gettempdir()).glob("blockmgr-*") for p in d.rglob("shuffle_*.data")}
+    from textilla.session import cut
+
+    cut(df.limit(1))
+    for run in (near_duplicates, overlaps):
+        before = size()
+        run(df, "referencia", "resumen")
+        assert sum(n for p, n in size().items() if p not in before) < 300 * len(rows)
+    before = shuffled()
+    assert cut(df.groupBy("referencia").count()).count() == len(rows) and len(shuffled() - before) <= 1
+
+
+def test_turns(spark, monkeypatch):
+    """Tokens that take turns lose and repeat no pair."""
+    from textilla.llm import pairs
+
+    monkeypatch.setattr(pairs, "LEAST_TURN", 8_000)
+    monkeypatch.setattr(pairs, "TURN", 30)
+    rows = corpus(6, 80)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {tuple(r) for r in group_pairs(near_duplicates(df, "referencia", "resumen")[0]).collect()} == brute_pairs(rows)
+
+
+def test_word_numbers():
+    """The same words have the same number, others another one, whatever characters they hold."""
+    rng = random.Random(8)
+    texts = ["".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x300, 0x400), rng.randrange(0x400, 0x2100), rng.randrange(0x20000, 0x20100), 32, 97])) for _ in range(90)) for _ in range(400)]
+    texts += ["ΑΣ ΟΔΥΣΣΕΥΣ", "ﬁn ½ a_x000D_b", "", "Árbol ARBOL a\u0301rbol", "x" * 70_000 + " y", "y " + "x" * 70_000]
+    got, offs = word_numbers(texts)
+    lists = [words(t) for t in texts]
+    assert np.diff(offs).tolist() == [len(x) for x in lists]
+    every = [w for x in lists for w in x]
+    assert len(set(zip(every, got.tolist()))) == len(set(every)) == len(set(got.tolist()))
+
+
 def test_overlaps_of_some(spark):
     """What is asked for is found with all that chains join to it."""
     rows = corpus(3, 120)
