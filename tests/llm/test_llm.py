@@ -211,6 +211,27 @@ def test_overlaps_of_some(spark):
     assert {p for p in got if ask & set(p)} == {p for p in want if ask & set(p)} and got <= want
 
 
+@pytest.mark.parametrize("most", [0, 4_000_000])
+def test_tokens_asked_for(spark, monkeypatch, most):
+    """What is asked for is counted where it lies and reaches the driver as bytes, never a row object for each token."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from textilla.llm import split_overlap
+
+    rows = corpus(14)
+    df = spark.createDataFrame(rows, SCHEMA)
+    ask = {f"r{i:03d}" for i in range(1, 60, 6)}
+    taken, collect = [], DataFrame.collect
+    monkeypatch.setattr(split_overlap, "SENT_TOKENS", most)
+    monkeypatch.setattr(DataFrame, "toPandas", lambda x: pytest.fail("rows gathered one by one"))
+    monkeypatch.setattr(DataFrame, "collect", lambda x: taken.append(collect(x)) or taken[-1])
+    grouped, _, _ = overlaps(df, "referencia", "resumen", spark.createDataFrame([(k,) for k in ask], "key string"))
+    monkeypatch.undo()
+    assert {tuple(sorted(p)) for p in group_pairs(grouped).collect() if ask & set(p)} == {p for p in brute_pairs(rows) if ask & set(p)}
+    got = [r for x in taken for r in x if "tokens" in r]
+    assert bool(got) == bool(most) and all(isinstance(r["tokens"], (bytes, bytearray)) for r in got)
+
+
 def test_across_splits(spark):
     g = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("d", 2), ("e", 2), ("f", 1)], "key string, grp bigint")
     s = spark.createDataFrame([("a", "train"), ("b", "dev"), ("c", "test"), ("d", "train"), ("e", None)], "referencia string, split_name string")
