@@ -133,6 +133,34 @@ def test_whole_grid_validated(spark, data):
     assert all(two[k][0] == v[0] and abs(two[k][1] - v[1]) < 0.01 for k, v in one.items())
 
 
+def test_grid_validated_in_blocks(spark, monkeypatch):
+    """However many rows there are, no task needs them all: fits over blocks of rows agree with those of one task for each fold."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from textilla.operators import models
+
+    rng = np.random.default_rng(2)
+    rows = [(f"k{i}", Vectors.sparse(9, sorted(rng.choice(9, 3, replace=False).tolist()), rng.standard_normal(3).tolist())) for i in range(50)]
+    vec = spark.createDataFrame(rows, ["key", "features"]).repartition(3)
+    y = [(k, c, 1 if v.toArray()[j] + rng.standard_normal() * 0.3 > 0.1 else -1) for j, c in ((1, "a"), (4, "b")) for k, v in rows]
+    y = spark.createDataFrame([r for r in y if r[1] == "a" or r[0] > "k2"] + [(k, "none", -1) for k, _ in rows], "key string, cat string, y int")
+    some = [m for m in models.grid(["LR"]) if m[0] in ("LRC001", "LRC1")]
+    one = {tuple(r)[:3]: tuple(r)[3:] for r in models.cross_validate_logistic(vec, y, "key", some, 3).collect()}
+    for name, value in (("HELD", 10), ("ROWS", 4), ("STATE", 2 * 128 * 10), ("EVALUATED", 30)):
+        monkeypatch.setattr(models, name, value)
+    held, run = [], models._cross_validate_blocks
+    monkeypatch.setattr(models, "_cross_validate_blocks", lambda *a: held.append(1) or run(*a))
+    got = models.cross_validate_logistic(vec, y, "key", some, 3)
+    two = {tuple(r)[:3]: tuple(r)[3:] for r in got.collect()}
+    assert held and got.count() == len(two) and one.keys() == two.keys() and {k[1] for k in two} == {"a", "b"}
+    assert all(two[k][0] == v[0] and abs(two[k][1] - v[1]) < 0.005 for k, v in one.items())
+    turns = {(r["cat"], r["model_name"]): tuple(r) for r in models.evaluate_models(got, ["a", "b", "none"], some).collect()}
+    monkeypatch.undo()
+    assert turns == {(r["cat"], r["model_name"]): tuple(r) for r in models.evaluate_models(got, ["a", "b", "none"], some).collect()}
+    assert len(turns) == 6 and turns["none", "LRC1"][3:] == (None, None)
+
+
 def test_sets_scored_whole(spark, data):
     """Scores of whole tables equal those of the operators by pairs; the queries read every document and definition."""
     import random
